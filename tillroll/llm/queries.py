@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, sharding, token_counts
+from . import bpe, chat, fingerprints, sharding, token_counts, topk
 from .common import table
 
 SHARDS = 24
@@ -33,6 +33,27 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_line_tokens(table(spark, sf_dir, "documents"), rule="first")
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best of all vectors for every 50th."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
+OP6_SQL = """
+with v as (
+  select vec_id, [floor(256 * cast(x as double)) for x in embedding] as v from embeddings
+  where embedding is not null and len(embedding) > 0 and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+s as (
+  select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.v, c.v) as bigint) as score
+  from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 5
+"""
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents")).drop("same")
 
@@ -49,6 +70,6 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_token_counts, op7_bpe, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op3_token_counts, op5_fingerprints, op6_topk, op7_bpe, op10_chat)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op6_topk": OP6_SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, sharding, token_counts, topk
+from . import bpe, chat, fingerprints, quality, sample, sharding, token_counts, topk, toxicity
 from .common import table
 
 SHARDS = 24
@@ -33,6 +33,20 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_line_tokens(table(spark, sf_dir, "documents"), rule="first")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, scored by a model that hasn't seen the rows held out (crc32 mod 4 = 2)."""
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (sample.remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, scored by a model that hasn't seen the rows held out (crc32 mod 3 = 1)."""
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score_documents(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (sample.remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
@@ -70,6 +84,6 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_token_counts, op5_fingerprints, op6_topk, op7_bpe, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op3_token_counts, op4_toxicity, op5_fingerprints, op6_topk, op7_bpe, op9_quality, op10_chat)}
 
 SQL: dict[str, str] = {"op6_topk": OP6_SQL}

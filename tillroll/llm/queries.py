@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, quality, sample, sharding, token_counts, topk, toxicity
+from . import bpe, chat, fingerprints, minhash, quality, sample, sharding, token_counts, topk, toxicity
 from .common import table
 
 SHARDS = 24
@@ -40,6 +40,27 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (sample.remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicates of all documents by 2-word shingles."""
+    return minhash.group(table(spark, sf_dir, "documents"), words=2).drop("s1", "s2")
+
+
+OP8_SQL = r"""
+with recursive
+w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (
+  select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) = 1 then [w[1]] else [w[i] || ' ' || w[i + 1] for i in range(1, len(w))] end) as s from w),
+n as (select doc_id, len(s) as n from s),
+e as (select doc_id, hash(unnest(s)) as h from s),
+c as (select a.doc_id as u, b.doc_id as v, count(*) as c from e a join e b on a.h = b.h and a.doc_id < b.doc_id group by 1, 2),
+l as (select u, v from c join n x on x.doc_id = u join n y on y.doc_id = v where 100 * c >= 80 * (x.n + y.n - c)),
+b as (select u, v from l union all select v, u from l),
+r(doc_id, other) as (select doc_id, doc_id from n union select r.doc_id, b.v from r join b on b.u = r.other),
+m as (select doc_id, min(other) as component_id from r group by 1)
+select n.doc_id, cast(n.n as bigint) as n_shingles, m.component_id, n.doc_id = m.component_id as kept from n join m using (doc_id)
+"""
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, scored by a model that hasn't seen the rows held out (crc32 mod 3 = 1)."""
     docs = table(spark, sf_dir, "documents")
@@ -84,6 +105,6 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_token_counts, op4_toxicity, op5_fingerprints, op6_topk, op7_bpe, op9_quality, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op3_token_counts, op4_toxicity, op5_fingerprints, op6_topk, op7_bpe, op8_minhash, op9_quality, op10_chat)}
 
-SQL: dict[str, str] = {"op6_topk": OP6_SQL}
+SQL: dict[str, str] = {"op6_topk": OP6_SQL, "op8_minhash": OP8_SQL}

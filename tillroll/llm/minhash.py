@@ -252,8 +252,8 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     return cut(sent.groupBy("u", "part").applyInArrow(run, "u long, v long, linked boolean"))
 
 
-def group(df: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles long, component_id long, kept boolean, s1, s2 long; one row for each row of ``df``."""
+def _grouped(df: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, hash (of the text), n, and the first row of its component: k (its identifier), first_hash."""
     spark = df.sparkSession
     find_package(spark)
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
@@ -286,11 +286,27 @@ def group(df: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str =
             links = links.unionByName(found.where("linked").select("u", "v"))
             roots = components(links)
 
-    placed = reps.select("s1", "s2", "k", "uid").join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    placed = reps.select("s1", "s2", "k", "hash", "uid").join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     placed = cut(placed)
-    least = placed.groupBy("root").agg(F.min("k").alias("component_id"))
-    named_sets = placed.join(least, "root").select("s1", "s2", "component_id")
-    out = marked.select("doc_id", "n", "s1", "s2").join(named_sets, ["s1", "s2"], "left")
-    mine = F.coalesce("doc_id", F.lit(_LAST))
-    component = F.coalesce("component_id", mine)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(component != _LAST, component).alias("component_id"), (mine == component).alias("kept"), "s1", "s2")
+    least = placed.groupBy("root").agg(F.min(F.struct("k", "hash")).alias("first"))
+    named_sets = placed.join(least, "root").select("s1", "s2", "first")
+    own_row = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("k"), "hash")
+    out = marked.select("doc_id", "hash", "n", "s1", "s2").join(named_sets, ["s1", "s2"], "left").withColumn("first", F.coalesce("first", own_row))
+    return out.select("doc_id", "hash", "n", "first.k", F.col("first.hash").alias("first_hash"))
+
+
+def group(df: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles long, component_id long, kept boolean; one row for each row of ``df``."""
+    component = F.when(F.col("k") != _LAST, F.col("k"))
+    return _grouped(df, words, id_col, text_col).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def drop_duplicates(df: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, with all their columns, without all but one of each component."""
+    firsts = _grouped(df, words, id_col, text_col).where(F.coalesce("doc_id", F.lit(_LAST)).eqNullSafe(F.col("k")) & (F.col("hash") == F.col("first_hash")))
+    keys = firsts.select(F.col("k").alias("_first_k"), F.col("hash").alias("_first_hash"))
+    marked = df.withColumn("_first_k", F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LAST))).withColumn("_first_hash", F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
+    kept = marked.join(keys, ["_first_k", "_first_hash"], "left_semi")
+    # Rows that repeat identifier and text are copies, too.
+    once = kept.withColumn("_first_row", F.row_number().over(Window.partitionBy("_first_k", "_first_hash").orderBy(F.lit(0))))
+    return once.where("_first_row = 1").select(*(F.col(f"`{c}`") for c in df.columns))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, minhash, quality, sample, sharding, token_counts, topk, toxicity
+from . import bpe, chat, fingerprints, minhash, packing, quality, sample, sharding, token_counts, topk, toxicity
 from .common import table
 
 SHARDS = 24
@@ -28,6 +28,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2048 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), capacity=2048)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tokens of every line of every document; one that crosses goes by its first character."""
     return token_counts.count_line_tokens(table(spark, sf_dir, "documents"), rule="first")
@@ -42,7 +47,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicates of all documents by 2-word shingles."""
-    return minhash.group(table(spark, sf_dir, "documents"), words=2).drop("s1", "s2")
+    return minhash.group(table(spark, sf_dir, "documents"), words=2)
 
 
 OP8_SQL = r"""
@@ -105,6 +110,6 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_token_counts, op4_toxicity, op5_fingerprints, op6_topk, op7_bpe, op8_minhash, op9_quality, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_packing, op3_token_counts, op4_toxicity, op5_fingerprints, op6_topk, op7_bpe, op8_minhash, op9_quality, op10_chat)}
 
 SQL: dict[str, str] = {"op6_topk": OP6_SQL, "op8_minhash": OP8_SQL}

@@ -1,0 +1,187 @@
+"""Hand-made rows for what the synthetic tables don't hold."""
+
+from datetime import date, datetime
+
+import pytest
+from pyspark.sql import functions as F
+from tillroll.functions import calendar, numbers
+from tillroll.operators import aggregates, filters, lookups, ranking, sets
+from tillroll.plans import retail
+from tillroll.plans.params import Params
+from tillroll.sources import files, schemas
+from tillroll.streaming import running
+
+T = "transaction_id string, store_id bigint, user_id bigint, final_amount double, created_at timestamp_ntz"
+
+
+def values(df, column):
+    return [r[column] for r in df.collect()]
+
+
+def at(text):
+    return datetime.fromisoformat(text)
+
+
+def test_hour_edges(spark):
+    times = ["2024-01-01 05:59:59", "2024-01-01 06:00:00", "2024-01-01 23:00:00", "2024-01-01 23:59:59", "2024-01-01 00:00:00"]
+    df = spark.createDataFrame([(at(t),) for t in [*times]] + [(None,)], "ts timestamp_ntz")
+    assert values(filters.by_hour(df, "ts", 6, 23), "ts") == [at(t) for t in times[1:4]]
+
+
+def test_year_edges(spark):
+    times = ["2023-12-31 23:59:59", "2024-01-01 00:00:00", "2025-12-31 23:59:59", "2026-01-01 00:00:00"]
+    df = spark.createDataFrame([(at(t),) for t in times] + [(None,)], "ts timestamp_ntz")
+    assert values(filters.by_year(df, "ts", 2024, 2025), "ts") == [at(t) for t in times[1:3]]
+
+
+def test_amount_edges(spark):
+    df = spark.createDataFrame([(74.99,), (75.0,), (75.01,), (None,)], "a double")
+    assert values(filters.by_amount(df, "a", 75), "a") == [75.0, 75.01]
+
+
+def test_calendar_keys(spark):
+    df = spark.createDataFrame([(at("2023-06-30 10:00:00"),), (at("2023-07-01 00:00:00"),), (None,)], "ts timestamp_ntz")
+    ts = F.col("ts")
+    rows = df.select(calendar.year_half(ts), calendar.year_month(ts), calendar.month_start(ts)).collect()
+    assert [tuple(r) for r in rows] == [("2023-H1", "2023-06", at("2023-06-01")), ("2023-H2", "2023-07", at("2023-07-01")), (None, None, None)]
+
+
+def test_parse_period(spark):
+    df = spark.createDataFrame([("2024-H1",), ("2024-H3",), ("2024-12",), ("2024-13",), ("x",), (None,)], "t string")
+    rows = df.select(calendar.parse_year_half(F.col("t")).alias("h"), calendar.parse_year_month(F.col("t")).alias("m")).collect()
+    assert [r["h"] and tuple(r["h"]) for r in rows] == [(2024, 1), None, None, None, None, None]
+    assert [r["m"] and tuple(r["m"]) for r in rows] == [None, None, (2024, 12), None, None, None]
+    with pytest.raises(Exception, match="not a month"):
+        df.select(calendar.parse_year_month(F.col("t"), strict=True)).collect()
+
+
+def test_parsing(spark):
+    df = spark.createDataFrame([("12.0", "1,5", "2024-01-02T03:04:05", "TRUE"), ("12.7", "1.5", "2024-01-02 03:04:05", "no"), ("", "x", "2024", None)], "i string, d string, t string, f string")
+    rows = df.select(numbers.parse_whole(F.col("i")), numbers.parse_decimal_comma(F.col("d")), calendar.parse_ts(F.col("t")), numbers.parse_flag(F.col("f"))).collect()
+    assert [tuple(r) for r in rows] == [(12, 1.5, at("2024-01-02 03:04:05"), True), (12, 1.5, at("2024-01-02 03:04:05"), False), (None, None, None, None)]
+
+
+def test_custom_round(spark):
+    df = spark.createDataFrame([(1.445,), (100.1256,), (2.344,), (2.346,), (12.3,)], "x double")
+    assert values(df.select(numbers.custom_round(F.col("x")).alias("y")), "y") == pytest.approx([1.444, 100.1246, 2.34, 2.35, 12.3])
+
+
+def test_sums_dont_depend_on_partitions(spark):
+    rows = [(str(i), 1, i % 3, 0.1 * i, at("2024-01-01 10:00:00")) for i in range(1000)]
+    df = spark.createDataFrame(rows, T)
+    sums = {aggregates.tpv(df.repartition(n)).first()["tpv"] for n in (1, 3, 7)}
+    assert len(sums) == 1
+
+
+def test_users_without_id_dont_count(spark):
+    rows = [("a", 1, None, 1.0, at("2024-01-01 10:00:00"))] * 2 + [("b", 1, 5, 1.0, at("2024-01-01 10:00:00")), ("c", None, 5, 1.0, at("2024-01-01 10:00:00"))]
+    assert [tuple(r) for r in aggregates.purchases(spark.createDataFrame(rows, T)).collect()] == [(1, 5, 1)]
+
+
+def test_top3_ties_and_few(spark):
+    df = spark.createDataFrame([(1, u, 5) for u in (1, 2, 3, 4)] + [(2, 9, 1)], "store_id bigint, user_id bigint, purchases bigint")
+    rows = sorted((r["store_id"], -r["user_id"]) for r in ranking.top3_users(df).collect())
+    assert rows == [(1, -4), (1, -3), (1, -2), (2, -9)]
+
+
+def test_argmax_tie_and_negative(spark):
+    df = spark.createDataFrame([(2, "m", 7), (1, "m", 7), (5, "n", -3), (6, "n", -4)], "item_id bigint, year_month string, quantity bigint")
+    assert sorted(values(ranking.argmax(df, ["year_month"], "quantity", "item_id"), "item_id")) == [1, 5]
+
+
+def test_lookups(spark):
+    items = spark.createDataFrame([(1,), (2,), (3,), (None,)], "item_id bigint")
+    menu = spark.createDataFrame([(1, "A"), (1, "B"), (2, None)], "item_id bigint, item_name string")
+    assert {(r["item_id"], r["item_name"]) for r in lookups.item_names(items, menu).collect()} == {(1, "B"), (2, ""), (3, "UNKNOWN"), (None, "UNKNOWN")}
+    stores = spark.createDataFrame([(1, "S"), (2, None)], "store_id bigint, store_name string")
+    facts = spark.createDataFrame([(1,), (2,), (3,)], "store_id bigint")
+    assert {tuple(r) for r in lookups.store_names(facts, stores).collect()} == {(1, "S"), (2, "UNKNOWN"), (3, "UNKNOWN")}
+    assert {tuple(r) for r in lookups.store_names_or_id(facts, stores).collect()} == {(1, "S"), (2, "NO_JOINER_DATA_2"), (3, "NO_JOINER_DATA_3")}
+    users = spark.createDataFrame([(1, date(2000, 1, 2))], "user_id bigint, birthdate date")
+    assert {tuple(r) for r in lookups.birthdates(spark.createDataFrame([(1,), (2,)], "user_id bigint"), users).collect()} == {(1, date(2000, 1, 2)), (2, None)}
+
+
+def test_winners_differ(spark):
+    items = spark.createDataFrame([("a", 1, 10, 1.0, at("2024-01-01 10:00:00")), ("b", 2, 1, 99.0, at("2024-01-02 10:00:00"))], "transaction_id string, item_id bigint, quantity bigint, subtotal double, created_at timestamp_ntz")
+    menu = spark.createDataFrame([(1, "tea"), (2, "cake")], "item_id bigint, item_name string")
+    assert [tuple(r) for r in retail.q2_1(items, menu, Params()).collect()] == [("2024-01", "tea", 10)]
+    assert [tuple(r) for r in retail.q2_2(items, menu, Params()).collect()] == [("2024-01", "cake", 99.0)]
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], T)
+    stores = spark.createDataFrame([], "store_id bigint, store_name string")
+    users = spark.createDataFrame([], "user_id bigint, birthdate date")
+    assert retail.q1(none, Params()).count() == 0
+    assert retail.q3(none, stores, Params()).columns == ["year_half_created_at", "store_name", "tpv"]
+    assert retail.q4(none, stores, users, Params()).count() == 0
+
+
+def test_distinct_and_compare(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("b", 2.0)], "id string, x double")
+    assert sorted(values(sets.distinct_first(df, "id", [F.col("x")]), "id")) == ["a", "b"]
+    other = spark.createDataFrame([("b", 2.0), ("c", 3.0)], "id string, x double")
+    assert {(r["side"], r["id"]) for r in sets.compare(df, other).collect()} == {("missing", "a"), ("extra", "c")}
+
+
+def test_table_names():
+    assert schemas.table_of("/x/transactions/y/Transaction_Items_202401.csv") == "transaction_items"
+    assert schemas.table_of("a/transactions_1.csv") == "transactions"
+    assert [schemas.table_of(f"{t}.csv") for t in schemas.TABLES] == list(schemas.TABLES)
+    with pytest.raises(ValueError, match="no table"):
+        schemas.table_of("payment_methods.csv")
+
+
+@pytest.fixture
+def landing(tmp_path):
+    for name, text in {
+        "1/stores/Stores.csv": "h1,h2,h3,h4,h5,h6,h7,h8\n1,Store \"X,Main St,,City,State,-58.4,\n",
+        "2/transactions_1.csv": "any,header,at,all,x,x,x,x,x\nt1,1.0,2,,4.0,100.0,,90.0,2024-05-10 14:30:00\nt2,2,2,,,100.0,,,2024-05-10 08:23:32\n",
+        "2/transaction_items_1.csv": "transaction_id,item_id,quantity,unit_price,subtotal,created_at\nt1,10,2,50.0,,2024-06-01 23:59:59\n",
+        "3/menu_items.csv": "item_id,item_name,category,price,is_seasonal,available_from,available_to\n1,Burger,Food,5.0,True,,\n",
+        "3/users.csv": "user_id,gender,birthdate,registered_at\n1,Male,,2020-01-01 05:23:00\n",
+        "3/payment_methods.csv": "a,b\n1,2\n",
+    }.items():
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(text)
+    return str(tmp_path)
+
+
+def test_csv_scan(spark, landing):
+    read = lambda t: [tuple(r) for r in files.read_csv_table(spark, landing, t).collect()]
+    assert read("transactions") == [("t1", 1, 2, None, 4, 100.0, None, 90.0, at("2024-05-10 14:30:00")), ("t2", 2, 2, None, None, 100.0, None, None, at("2024-05-10 08:23:32"))]
+    assert read("transaction_items") == [("t1", 10, 2, 50.0, None, at("2024-06-01 23:59:59"))]
+    assert read("menu_items") == [(1, "Burger", "Food", 5.0, True, None, None)]
+    assert read("stores") == [(1, 'Store "X', "Main St", None, "City", "State", -58.4, None)]
+    assert read("users") == [(1, "Male", None, at("2020-01-01 05:23:00"))]
+    assert files.project(files.read_csv_table(spark, landing, "users"), "users").columns == ["user_id", "birthdate"]
+    stats = files.csv_stats(spark, landing, "transactions").collect()
+    assert [(r["file"].rsplit("/", 1)[1], r["rows"]) for r in stats] == [("transactions_1.csv", 2)]
+
+
+def test_csv_sink(spark, tmp_path):
+    df = spark.createDataFrame([("b", 2.5), ("a", None)], "store_name string, tpv double")
+    files.write_result_csv(df, str(tmp_path / "out"), ["store_name"])
+    (part,) = (tmp_path / "out").glob("*.csv")
+    assert part.read_text() == "store_name,tpv\na,\nb,2.5\n"
+
+
+def test_stream_goes_on_with_new_files(spark, landing, tmp_path):
+    rows = files.stream_csv_table(spark, landing, "transactions")
+    run = lambda: running.run_available(aggregates.purchases(rows), ranking.top3_users, str(tmp_path / "out"), str(tmp_path / "state"))
+    run()
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(1, 4, 1)]
+    with open(f"{landing}/2/transactions_2.csv", "w") as f:
+        f.write("h\nt3,1,2,,4,1.0,,1.0,2024-05-10 14:30:00\n")
+    run()
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(1, 4, 2)]
+
+
+def test_stream_drops_repeats(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "transactions.csv").write_text("h\n" + "t1,1,2,,4,1.0,,1.0,2024-05-10 14:30:00\n" * 3)
+    rows = running.drop_repeats(files.stream_csv_table(spark, str(tmp_path / "in"), "transactions").withColumn("created_at", F.col("created_at").cast("timestamp")), "transaction_id", "created_at", "1 hour")
+    query = rows.writeStream.format("memory").queryName("once").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert spark.table("once").count() == 1

@@ -42,18 +42,17 @@ SEED = 5
 THRESHOLD = 0.3
 
 
-def grams(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(dictionary entry, bucket) of every n-gram of every entry, in the entries' order."""
-    n = words.lengths
-    count = len(n)
+def grams(words: Words, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """(dictionary entry, bucket) of every n-gram of the entries from ``low`` to ``high``."""
+    n = words.lengths[low:high]
+    count = high - low
     size = int(n.sum()) + 2 * count
-    begin = words.offsets[:-1] + 2 * np.arange(count)
+    begin = words.offsets[low:high] - words.offsets[low] + 2 * np.arange(count)
     letters = np.full(size, ord(">"), dtype=np.uint32)
     letters[begin] = ord("<")
-    entry = np.repeat(np.arange(count), n + 2)
+    entry = np.repeat(np.arange(count, dtype=np.int32), n + 2)
     at = np.arange(size) - begin[entry]
-    inside = (at > 0) & (at <= n[entry])
-    letters[inside] = words.data
+    letters[(at > 0) & (at <= n[entry])] = words.data[words.offsets[low] : words.offsets[high]]
     room = (n + 2)[entry] - at
     entries, buckets = [], []
     h = np.zeros(size, dtype=np.uint32)
@@ -66,10 +65,18 @@ def grams(words: Words) -> tuple[np.ndarray, np.ndarray]:
             x = h[fits]
             x = (x ^ (x >> np.uint32(15))) * np.uint32(2246822519)
             entries.append(entry[fits])
-            buckets.append((x >> np.uint32(16)) % np.uint32(BUCKETS))
-    e, b = np.concatenate(entries), np.concatenate(buckets).astype(np.int64)
-    order = np.argsort(e, kind="stable")
-    return e[order], b[order]
+            buckets.append(((x >> np.uint32(16)) % np.uint32(BUCKETS)).astype(np.int32))
+    return np.concatenate(entries), np.concatenate(buckets)
+
+
+#: Dictionary entries whose n-grams are held at once.
+ENTRIES = 40_000
+
+
+def entry_chunks(words: Words):
+    count = len(words.lengths)
+    for low in range(0, count, ENTRIES):
+        yield low, min(low + ENTRIES, count)
 
 
 def once(index: np.ndarray, runs: np.ndarray) -> np.ndarray:
@@ -91,9 +98,11 @@ class Model:
 
     def logits(self, words: Words) -> np.ndarray:
         """The logit of each document."""
-        e, b = grams(words)
-        held = np.bincount(e, minlength=len(words.lengths))
-        value = np.bincount(e, weights=self.gram[b], minlength=len(held)) / np.maximum(held, 1)
+        value = np.zeros(len(words.lengths))
+        for low, high in entry_chunks(words):
+            e, b = grams(words, low, high)
+            held = np.bincount(e, minlength=high - low)
+            value[low:high] = np.bincount(e, weights=self.gram[b], minlength=high - low) / np.maximum(held, 1)
         runs, first = spans(words.starts, RUN)
         sums = np.add.reduceat(value[words.index] * once(words.index, runs), runs) / RUN
         return np.maximum.reduceat(sums, first[:-1]) + self.bias
@@ -111,10 +120,13 @@ def train(texts: list[str], labels: list[int], weights: list[float] | None = Non
         share = float(np.clip(y.mean() if len(y) else 0.0, 1e-9, 1 - 1e-9))
         return Model(np.zeros(BUCKETS, dtype=np.float32), float(np.log(share / (1 - share))))
     words = split(pa.array(texts, pa.string()), lower=True)
-    e, b = grams(words)
-    b = b.astype(np.int32)
-    gram_at = np.concatenate([[0], np.cumsum(np.bincount(e, minlength=len(words.lengths)))])
-    del e
+    held, parts = [], []
+    for low, high in entry_chunks(words):
+        e, b = grams(words, low, high)
+        held.append(np.bincount(e, minlength=high - low))
+        parts.append(b[np.argsort(e, kind="stable")])
+    b, gram_at = np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(held))])
+    del parts, held
     rng = np.random.default_rng(seed)
     table = rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
     softmax = np.stack([-np.ones(WIDTH), np.ones(WIDTH)], 1).astype(np.float32) + rng.normal(0, 0.1, (WIDTH, 2)).astype(np.float32)

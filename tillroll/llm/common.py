@@ -69,6 +69,14 @@ def size_chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 <<
             yield batch.slice(start)
 
 
+def whole(column: pa.Array) -> pa.Array:
+    """A text column as 64-bit text without nulls, in buffers of its own.
+
+    Some of Arrow's ASCII kernels misread a converted slice, so slices are copied.
+    """
+    return pc.fill_null(column.take(pa.array(range(len(column)), pa.int64())).cast(pa.large_string()), "")
+
+
 def find_package(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it (where that path exists)."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, find_package, map_arrow, size_chunks
+from .common import cut, find_package, map_arrow, size_chunks, whole
 
 BANDS, ROWS = 40, 5
 SIZE = BANDS * ROWS
@@ -64,7 +64,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def shingle_sets(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     """The sorted set of each text, one after the other, and where each begins (and the end)."""
-    column = pc.ascii_lower(pc.fill_null(column.cast(pa.large_string()), ""))
+    column = pc.ascii_lower(whole(column))
     lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(column))
     coded = lists.flatten().dictionary_encode()
     entries = np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()], dtype=np.uint64)

@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import whole
+
 
 @dataclass
 class Words:
@@ -26,7 +28,7 @@ class Words:
 
 
 def split(column: pa.Array, lower: bool = False) -> Words:
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    column = whole(column)
     if lower:
         column = pc.utf8_lower(column)
     lists = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(column))

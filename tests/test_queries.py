@@ -1,7 +1,7 @@
 """Every query against its SQL."""
 
 import pytest
-from conftest import oracle, same_rows
+from helpers import oracle, same_rows
 from tillroll.plans import registry
 
 

@@ -58,7 +58,7 @@ def grams(words: Words, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
     h = np.zeros(size, dtype=np.uint32)
     for g in range(1, max(GRAMS) + 1):
         step = np.zeros(size, dtype=np.uint32)
-        step[: size - g + 1] = letters[g - 1 :]
+        step[: max(0, size - g + 1)] = letters[g - 1 :]
         h = (h ^ step) * np.uint32(16777619) + np.uint32(g)
         if g in GRAMS:
             fits = room >= g
@@ -198,9 +198,10 @@ def keep_rows(df: DataFrame, model, keep, text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, whose score satisfies ``keep`` (of an array of scores)."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     at = df.columns.index(text_col)
+    numbered = df.toDF(*(f"c{i}" for i in range(len(df.columns))))  # whatever the columns' names
 
     def run(batches):
-        for part in size_chunks(batches, text_col):
+        for part in size_chunks(batches, f"c{at}"):
             yield part.filter(pa.array(keep(shared.value.scores(part.column(at)))))
 
-    return map_arrow(df, run, df.schema)
+    return map_arrow(numbered, run, numbered.schema).toDF(*df.columns)

@@ -94,8 +94,8 @@ def top_k(df: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", ve
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("w"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("q")).first()
     n, width = size["n"], size["w"] or 1
     count = max(1, min(PIVOTS, math.isqrt(n) // 2))
-    sample = rows.dropDuplicates(["v"]) if n <= 100_000 else rows
-    picked = sample.orderBy(F.xxhash64("vec_id", "uid")).limit(count).collect()
+    drawn = rows.orderBy(F.xxhash64("vec_id", "uid"), "uid").limit(2 * count).collect()
+    picked = list({tuple(p["v"]): p for p in reversed(drawn)}.values())[::-1][:count]  # equal vectors make one pivot
     pivots = np.zeros((max(1, len(picked)), width))
     for i, p in enumerate(picked):
         pivots[i, : len(p["v"])] = p["v"]

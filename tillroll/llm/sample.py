@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Rows of each class at most, and characters of a row at most (longer texts are not learned from).
 ROWS_OF_CLASS = 3000
-CHARS = 50_000
+CHARS = 20_000
 
 
 def remainder(id_col: Column, divisor: int) -> Column:

@@ -12,10 +12,10 @@ components miss a pair with similarity 0.8 about once in ten million times.
 Within a bucket no all-pairs step is needed:
 
 1. each member is checked with the bucket's first member (a star);
-2. where a bucket still has members of several components, the pairs that the
-   signatures call likely are found block by block, and those of a spanning
-   forest are checked;
-3. what likely pairs then remain between components are checked one by one.
+2. where a bucket still has members of several components, these are compared
+   block by block: first their signatures, and where those don't rule a link out,
+   their sets (as halves of the hashes); a spanning forest of the linked ones
+   goes on to be checked.
 
 Every check compares the full sets.  So two documents end in one component if
 and only if links (pairs that reach the threshold) connect them, up to the
@@ -51,7 +51,7 @@ PERCENT = 80
 #: Signatures of linked pairs agree in this share of components at least (five standard deviations below 0.8).
 LIKELY = 0.66
 #: Members of a bucket that one task compares with as many others; members checked with one copy of a hub.
-BLOCK, FAN = 512, 64
+BLOCK, FAN = 2048, 64
 _LAST = (1 << 63) - 1
 _P1, _P2, _P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -155,69 +155,114 @@ def describe(df: DataFrame, words: int, text_col: str = "text", full: bool = Tru
     return map_arrow(df, run, kinds + ", n long, s1 long, s2 long" + ", bands array<long>, sketch binary" * full)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """uid, root: the smallest vertex that edges (u, v) connect a vertex with."""
-    both = cut(edges.select(F.col("u").alias("a"), F.col("v").alias("b")).union(edges.select("v", "u")))
-    labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "uid"))
+#: Rows of one part of a small intermediate table; few large files take less room than many small ones.
+PART_ROWS = 200_000
+
+
+def compact(df: DataFrame, rows: int) -> DataFrame:
+    """Materialise a table of known size in as many parts as it needs."""
+    return cut(df.coalesce(max(1, -(-rows // PART_ROWS))))
+
+
+def components(edges: DataFrame, rows: int) -> DataFrame:
+    """uid, root: the smallest vertex that edges (u, v), of that number, connect a vertex with."""
+    both = compact(edges.select(F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("v").alias("b")), F.struct(F.col("v").alias("a"), F.col("u").alias("b")))).alias("e")).select("e.*"), 2 * rows)
+    labels = compact(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "uid"), 2 * rows)
     while True:
         near = both.join(labels.withColumnRenamed("uid", "b"), "b").groupBy("a").agg(F.min("root").alias("near"))
         lower = labels.join(near.withColumnRenamed("a", "uid"), "uid").select("uid", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        lower = cut(lower)
         jump = labels.select(F.col("uid").alias("root"), F.col("root").alias("beyond"))
-        labels = cut(lower.join(jump, "root").select("uid", "old", F.least("root", "beyond").alias("root")))
+        labels = compact(lower.join(jump, "root").select("uid", "old", F.least("root", "beyond").alias("root")), 2 * rows)
         moved = labels.where("root <> old").limit(1).count()
         labels = labels.drop("old")
         if not moved:
             return labels
 
 
-def _likely(keys: pa.Table, forest: bool) -> Iterator[tuple[int, int]]:
-    """Pairs of one block (or of two) of a bucket that lie in different components and that signatures call likely."""
-    block = keys["block"].to_numpy()
-    uid, root, n = (keys[c].to_numpy() for c in ("uid", "root", "n"))
-    low, high = keys["low"][0].as_py(), keys["high"][0].as_py()
-    sketch = np.frombuffer(b"".join(keys["sketch"].to_pylist()), dtype=np.uint8).reshape(-1, SIZE)
-    left = np.flatnonzero(block == low)
-    right = np.flatnonzero(block == high)
-    found = []
-    for i in left:
-        js = right[right > i] if low == high else right
-        js = js[(root[js] != root[i]) & (100 * np.minimum(n[js], n[i]) >= PERCENT * np.maximum(n[js], n[i]))]
-        if len(js):
-            share = (sketch[js] == sketch[i]).mean(1)
-            found += [(s, i, j) for s, j in zip(share, js, strict=True) if s >= LIKELY]
-    if not forest:
-        yield from ((uid[i], uid[j]) for _, i, j in found)
-        return
+def merge(roots: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """The roots after more links (u, v): only the old components' roots are connected anew."""
+    rows = links.count()
+    if not rows:
+        return roots
+    if roots is None:
+        return components(links, rows)
+    root_of = lambda c: roots.select(F.col("uid").alias(c), F.col("root").alias(f"root_{c}"))
+    lifted = links.join(root_of("u"), "u", "left").join(root_of("v"), "v", "left").select(F.coalesce("root_u", "u").alias("u"), F.coalesce("root_v", "v").alias("v"))
+    joined = components(lifted.where("u <> v"), rows)
+    moved = roots.join(joined.select(F.col("uid").alias("root"), F.col("root").alias("next")), "root", "left").select("uid", F.coalesce("next", "root").alias("root"))
+    # Vertices without a link before are their own roots there.
+    fresh = joined.join(roots.select("uid"), "uid", "left_anti")
+    return cut(moved.unionByName(fresh))
+
+
+def with_sets(texts: DataFrame, words: int) -> DataFrame:
+    """uid, sketch, marks binary: the upper halves of the set's hashes."""
+
+    def run(batches):
+        for part in size_chunks(batches, "text"):
+            value, starts = shingle_sets(part.column(1), words)
+            half = (value >> np.uint64(32)).astype(np.uint32)  # sorted, as the hashes are
+            marks = [half[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(marks, pa.binary())], ["uid", "sketch", "marks"])
+
+    return map_arrow(texts.select("uid", "text", "sketch"), run, "uid long, sketch binary, marks binary")
+
+
+def _linked(part: pa.Table, forest: bool) -> Iterator[tuple[int, int]]:
+    """Pairs of one block (or of two) of a bucket that lie in different components
+    and that their marks call linked; of these a spanning forest if wanted."""
+    block = part["block"].to_numpy()
+    uid, root, n = (part[c].to_numpy() for c in ("uid", "root", "n"))
+    low, high = part["low"][0].as_py(), part["high"][0].as_py()
+    sketch = np.frombuffer(b"".join(part["sketch"].to_pylist()), dtype=np.uint8).reshape(-1, SIZE)
+    marks = [np.frombuffer(m, dtype=np.uint32) for m in part["marks"].to_pylist()]
     parent: dict[int, int] = {}
 
     def top(x):
         while parent.get(x, x) != x:
-            x = parent[x] = parent.get(parent[x], parent[x])
+            parent[x] = x = parent.get(parent[x], parent[x])
         return x
 
-    for _, i, j in sorted(found, key=lambda f: -f[0]):
-        a, b = top(root[i]), top(root[j])
-        if a != b:
-            parent[max(a, b)] = min(a, b)
+    left = np.flatnonzero(block == low)
+    right = np.flatnonzero(block == high)
+    for i in left:
+        js = right[right > i] if low == high else right
+        js = js[(root[js] != root[i]) & (100 * np.minimum(n[js], n[i]) >= PERCENT * np.maximum(n[js], n[i]))]
+        if len(js):
+            js = js[(sketch[js] == sketch[i]).mean(1) >= LIKELY]
+        if forest and len(js):
+            own = top(root[i])
+            js = np.array([j for j in js if top(root[j]) != own], dtype=np.int64)
+        if not len(js):
+            continue
+        sizes = np.array([len(marks[j]) for j in js])
+        all_marks = np.concatenate([marks[j] for j in js])
+        at = np.minimum(np.searchsorted(marks[i], all_marks), len(marks[i]) - 1)
+        common = np.add.reduceat((marks[i][at] == all_marks).astype(np.int64), np.cumsum(sizes) - sizes)
+        for j in js[100 * common >= PERCENT * (n[i] + n[js] - common)]:
+            if forest:
+                a, b = top(root[i]), top(root[j])
+                if a == b:
+                    continue
+                parent[max(a, b)] = min(a, b)
             yield uid[i], uid[j]
 
 
-def likely_pairs(members: DataFrame, roots: DataFrame, sketches: DataFrame, forest: bool) -> DataFrame:
-    """Candidate pairs (u, v) from the buckets that hold several components."""
+def linked_pairs(members: DataFrame, roots: DataFrame, sets: DataFrame, forest: bool) -> DataFrame:
+    """Pairs (u, v) to verify, from the buckets that hold several components."""
     rooted = members.join(roots, "uid", "left").select("key", "uid", "n", F.coalesce("root", "uid").alias("root"))
-    whole = Window.partitionBy("key")
-    mixed = rooted.withColumn("a", F.min("root").over(whole)).withColumn("b", F.max("root").over(whole)).withColumn("size", F.count(F.lit(1)).over(whole)).where("a <> b")
+    whole_bucket = Window.partitionBy("key")
+    mixed = rooted.withColumn("a", F.min("root").over(whole_bucket)).withColumn("b", F.max("root").over(whole_bucket)).withColumn("size", F.count(F.lit(1)).over(whole_bucket)).where("a <> b")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     dealt = (
         mixed.withColumn("block", F.pmod(F.xxhash64("uid"), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .select("key", "uid", "n", "root", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-        .join(sketches, "uid")
+        .join(sets, "uid")
     )
 
     def run(part: pa.Table) -> pa.Table:
-        pairs = [(min(p), max(p)) for p in _likely(part, forest)]
+        pairs = [(min(p), max(p)) for p in _linked(part, forest)]
         return pa.table({"u": pa.array([p[0] for p in pairs], pa.int64()), "v": pa.array([p[1] for p in pairs], pa.int64())})
 
     return dealt.groupBy("key", "low", "high").applyInArrow(run, "u long, v long").distinct()
@@ -229,11 +274,10 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     Pairs gather at their first member, ``FAN`` to a group, so a member of many
     pairs is sent to as many groups as it needs.
     """
-    many = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / FAN).alias("groups"))
-    asked = pairs.join(many, "u").select("u", "v", F.pmod(F.xxhash64("v"), F.col("groups")).alias("part"))
-    asked = cut(asked)
-    wanted = asked.select("u", "part", F.col("v").alias("uid")).unionByName(asked.select("u", "part", F.col("u").alias("uid")).distinct())
-    sent = wanted.join(texts, "uid")
+    groups = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("u")) / FAN)
+    asked = pairs.withColumn("groups", groups).select("u", "v", F.pmod(F.xxhash64("v"), F.col("groups")).alias("part"))
+    wanted = asked.select("u", "part", F.explode(F.array("v", "u")).alias("uid")).distinct()
+    sent = wanted.join(texts.select("uid", "text"), "uid")
 
     def run(part: pa.Table) -> pa.Table:
         hub = part["u"][0].as_py()
@@ -269,22 +313,29 @@ def _grouped(df: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame
     fits = 100 * F.least("n", "hub.n") >= PERCENT * F.greatest("n", "hub.n")
     star = members.where(F.col("uid") != F.col("hub.uid")).where(fits).select(F.col("hub.uid").alias("u"), F.col("uid").alias("v")).distinct()
 
-    busy = members.select("uid").distinct().join(reps.select("uid", "k", "hash"), "uid")
+    star = cut(star)
+    busy = members.select("uid").distinct().join(reps.select("uid", "k", "hash", "sketch"), "uid")
     own = named.select(F.coalesce("doc_id", F.lit(_LAST)).alias("k"), "hash", "text")
-    texts = busy.join(own, ["k", "hash"]).select("uid", "text")
-    sketches = reps.select("uid", "sketch")
+    texts = cut(busy.join(own, ["k", "hash"]).select("uid", "text", "sketch"))
 
     checked = verify(star, texts, words)
-    links = checked.where("linked").select("u", "v")
-    roots = components(links)
+    roots = merge(None, checked.where("linked").select("u", "v"))
     for forest in (True, False):
-        tested = checked.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-        more = cut(likely_pairs(members, roots, sketches, forest).join(tested, ["u", "v"], "left_anti"))
-        if more.limit(1).count():
-            found = verify(more, texts, words)
-            checked = checked.unionByName(found)
-            links = links.unionByName(found.where("linked").select("u", "v"))
-            roots = components(links)
+        now = roots if roots is not None else spark.createDataFrame([], "uid long, root long")
+        more = linked_pairs(members, now, with_sets(texts, words), forest)
+        if not forest:
+            more = more.join(tested, ["u", "v"], "left_anti")
+        more = cut(more)
+        if not more.limit(1).count():
+            break
+        found = verify(more, texts, words)
+        roots = merge(roots, found.where("linked").select("u", "v"))
+        # A mark stands for its hash but for collisions; only after one can anything be left.
+        if not found.where("not linked").limit(1).count():
+            break
+        tested = found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    if roots is None:
+        roots = spark.createDataFrame([], "uid long, root long")
 
     placed = reps.select("s1", "s2", "k", "hash", "uid").join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     placed = cut(placed)

@@ -60,14 +60,17 @@ def test_chains_and_borders(spark, words):
     assert grouped(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), words) == want
 
 
-def test_shared_passages_and_many_copies(spark, monkeypatch):
-    """Small blocks and fans, so that buckets are cut and hubs are sent more than once."""
-    monkeypatch.setattr(minhash, "BLOCK", 7)
-    monkeypatch.setattr(minhash, "FAN", 3)
+@pytest.mark.parametrize(("stars", "splits"), [(1, 2), (0, 0)])
+def test_shared_passages_and_many_copies(spark, monkeypatch, stars, splits):
+    """Small groups, so that buckets are large: further stars, splits, blocks."""
+    monkeypatch.setattr(minhash, "GROUP_ROWS", 7)
+    monkeypatch.setattr(minhash, "STARS", stars)
+    monkeypatch.setattr(minhash, "SPLITS", splits)
     rng = random.Random(1)
     passage = [f"p{i}" for i in range(60)]
     docs = [(i, " ".join(passage + [f"x{i}_{k}" for k in range(rng.choice([3, 20]))])) for i in range(40)]
     docs += [(100 + i, "the same text again and again") for i in range(50)]
+    docs += [(200 + i, " ".join(w if rng.random() < 0.97 else f"y{rng.random()}" for w in passage)) for i in range(60)]
     assert grouped(spark.createDataFrame(docs, "doc_id long, text string"), 2) == brute(docs, 2)
 
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -20,20 +22,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and forget its lineage.
-
-    The folder is the session's ``spark.checkpoint.dir``.  Only where none is
-    set (a local test) a temporary one is used.  Spark deletes the files when
-    no plan refers to them any more, if
-    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; a temporary
+    one where none is set and all tasks run on this machine (a local test)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tillroll-"))
-    return df.checkpoint()
+        folder = tempfile.mkdtemp(prefix="tillroll-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder; what is written there goes when the driver ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _files(spark, path, lambda fs, at: fs.deleteOnExit(at))
+    return path
+
+
+def _files(spark: SparkSession, path: str, action: Callable) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    action(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at)
+
+
+#: Tables of the temporary() blocks that are open.
+_open: list[list[str]] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession):
+    """What :func:`cut` writes inside the block is deleted at its end, but for what it was told to keep."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            _files(spark, path, lambda fs, at: fs.delete(at, True))
+
+
+def cut(df: DataFrame, keep: bool = False) -> DataFrame:
+    """``df`` as a written table in the shared folder: lost executors cost nothing
+    that lies before it, and its size is known to the planner."""
+    path = new_folder(df.sparkSession, "cut")
+    if _open and not keep:
+        _open[-1].append(path)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def vocabulary(name: str, path: str | None) -> str:
@@ -92,6 +127,14 @@ def map_arrow(df: DataFrame, function: Callable, schema: StructType | str) -> Da
     return df.mapInArrow(function, schema)
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns of a row.  Spark hashes no maps or variants; their text stands for them."""
+    plain = lambda f: "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()
+    columns = [F.col(f"`{f.name}`") if plain(f) else F.col(f"`{f.name}`").cast("string") for f in df.schema]
+    # A null adds nothing to a hash, so the nulls' places are hashed as well.
+    return F.xxhash64(*columns, *(c.isNull() for c in columns))
+
+
 def text_column(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Just the identifier and the text, by position safe names, null text as empty."""
     return df.select(

@@ -9,16 +9,23 @@ correlates the components negatively and lowers the variance, and an element is
 given up as soon as no component can still improve.  ``BANDS`` bands of ``ROWS``
 components miss a pair with similarity 0.8 about once in ten million times.
 
-Within a bucket no all-pairs step is needed:
-
-1. each member is checked with the bucket's first member (a star);
-2. where a bucket still has members of several components, these are compared
-   block by block: first their signatures, and where those don't rule a link out,
-   their sets (as halves of the hashes); a spanning forest of the linked ones
-   goes on to be checked.
-
-Every check compares the full sets.  So two documents end in one component if
-and only if links (pairs that reach the threshold) connect them, up to the
+A bucket's members are compared without an all-pairs step:
+
+1. each member with the bucket's first member (a star);
+2. where a bucket still has members of several components and is large, with a
+   fresh hub, ``STARS`` times; found links merge components in between;
+3. large ones that remain are split by an exact prefix filter: a member's set is
+   ordered by "not in the hub's set" first, and of a set of n elements the first
+   n - ceil(0.8 n) + 1 name the smaller groups that it goes to.  Two sets with a
+   link share one of these.  Members that only share a frequent passage with the
+   hub have nothing but their own elements there, and part;
+4. groups that fit in a task (``GROUP_ROWS`` members, ``GROUP_ELEMENTS``
+   elements) are compared inside it, again behind a prefix filter, and only a
+   spanning forest of the links leaves the task.  What is still large after
+   ``SPLITS`` splits is compared block by block in the same way.
+
+Every link is a comparison of full sets; nothing is decided by signatures.  So two
+documents end in one component if and only if links connect them, up to the
 stated chance that a linked pair shares no bucket.  Components come from
 min-label propagation with pointer jumping over checkpointed tables; nothing
 about all documents is held by the driver.
@@ -26,8 +33,9 @@ about all documents is held by the driver.
 Defined cases: a null text counts as empty; a text without words has no set,
 is linked with nothing and is its own component; with fewer than ``words`` words
 the whole sequence is one shingle; repeated rows are copies; a null identifier
-counts as larger than all others; extra columns are carried by
-:func:`drop_duplicates` and play no part.
+counts as larger than all others; an empty table gives no rows; extra columns of
+any name are carried by :func:`drop_duplicates` and play no part but in ties (see
+there).
 """
 
 from __future__ import annotations
@@ -40,18 +48,17 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import cut, find_package, map_arrow, size_chunks, whole
+from .common import cut, find_package, map_arrow, row_hash, size_chunks, temporary, whole
 
 BANDS, ROWS = 40, 5
 SIZE = BANDS * ROWS
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: Signatures of linked pairs agree in this share of components at least (five standard deviations below 0.8).
-LIKELY = 0.66
-#: Members of a bucket that one task compares with as many others; members checked with one copy of a hub.
-BLOCK, FAN = 2048, 64
+#: Members, and elements of their sets, of a group that one task compares.
+GROUP_ROWS, GROUP_ELEMENTS = 128, 1 << 18
+#: Further stars in large groups, and splits of those that remain.
+STARS, SPLITS = 2, 3
 _LAST = (1 << 63) - 1
 _P1, _P2, _P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -124,35 +131,25 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _described(column: pa.Array, words: int, full: bool) -> list[pa.Array]:
+def _described(column: pa.Array, words: int) -> list[pa.Array]:
     value, starts = shingle_sets(column, words)
     n = np.diff(starts)
     # Two sums of mixed elements name a set, in whatever order.
     sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(value ^ np.uint64(salt)))]) for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
     names = [(s[starts[1:]] - s[starts[:-1]]).view(np.int64) for s in sums]
-    out = [pa.array(n, pa.int64()), *map(pa.array, names)]
-    if full:
-        signature = superminhash(value, starts)
-        keys = band_keys(signature)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
-        low = (mix(signature) & np.uint64(255)).astype(np.uint8)
-        out += [lists, pa.array([r.tobytes() for r in low], pa.binary())]
-    return out
-
-
-def describe(df: DataFrame, words: int, text_col: str = "text", full: bool = True) -> DataFrame:
-    """The rows with ``n`` (set size), ``s1``, ``s2`` (the set's name) and, if
-    ``full``, ``bands`` and ``sketch`` (a byte of each component) instead of the text."""
-    at = df.columns.index(text_col)
-    others = [i for i in range(len(df.columns)) if i != at]
-    names = [df.columns[i] for i in others] + ["n", "s1", "s2"] + ["bands", "sketch"] * full
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for i, f in enumerate(df.schema) if i != at)
+    keys = band_keys(superminhash(value, starts))
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
+    return [pa.array(n, pa.int64()), *map(pa.array, names), lists]
+
+
+def describe(named: DataFrame, words: int) -> DataFrame:
+    """doc_id, hash, n (set size), s1, s2 (the set's name) and bands of doc_id, text, hash."""
 
     def run(batches):
-        for part in size_chunks(batches, text_col):
-            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in others), *_described(part.column(at), words, full)], names)
+        for part in size_chunks(batches, "text"):
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *_described(part.column(1), words)], ["doc_id", "hash", "n", "s1", "s2", "bands"])
 
-    return map_arrow(df, run, kinds + ", n long, s1 long, s2 long" + ", bands array<long>, sketch binary" * full)
+    return map_arrow(named.select("doc_id", "text", "hash"), run, "doc_id long, hash long, n long, s1 long, s2 long, bands array<long>")
 
 
 #: Rows of one part of a small intermediate table; few large files take less room than many small ones.
@@ -181,14 +178,16 @@ def components(edges: DataFrame, rows: int) -> DataFrame:
 
 def merge(roots: DataFrame | None, links: DataFrame) -> DataFrame | None:
     """The roots after more links (u, v): only the old components' roots are connected anew."""
-    rows = links.count()
-    if not rows:
-        return roots
     if roots is None:
-        return components(links, rows)
+        rows = links.count()
+        return components(links, rows) if rows else None
     root_of = lambda c: roots.select(F.col("uid").alias(c), F.col("root").alias(f"root_{c}"))
     lifted = links.join(root_of("u"), "u", "left").join(root_of("v"), "v", "left").select(F.coalesce("root_u", "u").alias("u"), F.coalesce("root_v", "v").alias("v"))
-    joined = components(lifted.where("u <> v"), rows)
+    lifted = cut(lifted.where("u <> v").distinct())
+    rows = lifted.count()
+    if not rows:
+        return roots
+    joined = components(lifted, rows)
     moved = roots.join(joined.select(F.col("uid").alias("root"), F.col("root").alias("next")), "root", "left").select("uid", F.coalesce("next", "root").alias("root"))
     # Vertices without a link before are their own roots there.
     fresh = joined.join(roots.select("uid"), "uid", "left_anti")
@@ -196,26 +195,82 @@ def merge(roots: DataFrame | None, links: DataFrame) -> DataFrame | None:
 
 
 def with_sets(texts: DataFrame, words: int) -> DataFrame:
-    """uid, sketch, marks binary: the upper halves of the set's hashes."""
+    """uid, tokens array<long>: the set of each text (uid, text)."""
 
     def run(batches):
         for part in size_chunks(batches, "text"):
             value, starts = shingle_sets(part.column(1), words)
-            half = (value >> np.uint64(32)).astype(np.uint32)  # sorted, as the hashes are
-            marks = [half[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(marks, pa.binary())], ["uid", "sketch", "marks"])
+            lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(value.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column(0), lists], ["uid", "tokens"])
+
+    return map_arrow(texts.select("uid", "text"), run, "uid long, tokens array<long>")
+
+
+def fits(a, b):
+    """Whether sets of these sizes can be linked."""
+    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
+
 
-    return map_arrow(texts.select("uid", "text", "sketch"), run, "uid long, sketch binary, marks binary")
+def beside(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v, ...) with both full sets, tu and tv, and their common elements' number."""
+    of = lambda c: sets.select(F.col("uid").alias(c), F.col("tokens").alias(f"t{c}"))
+    return pairs.join(of("v"), "v").join(of("u"), "u").withColumn("common", F.size(F.array_intersect("tv", "tu")).cast("long"))
 
 
-def _linked(part: pa.Table, forest: bool) -> Iterator[tuple[int, int]]:
-    """Pairs of one block (or of two) of a bucket that lie in different components
-    and that their marks call linked; of these a spanning forest if wanted."""
-    block = part["block"].to_numpy()
-    uid, root, n = (part[c].to_numpy() for c in ("uid", "root", "n"))
-    low, high = part["low"][0].as_py(), part["high"][0].as_py()
-    sketch = np.frombuffer(b"".join(part["sketch"].to_pylist()), dtype=np.uint8).reshape(-1, SIZE)
-    marks = [np.frombuffer(m, dtype=np.uint32) for m in part["marks"].to_pylist()]
+def linked():
+    return 100 * F.col("common") >= PERCENT * (F.size("tu") + F.size("tv") - F.col("common"))
+
+
+def star_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose full sets are linked."""
+    return cut(beside(pairs.select("u", "v").distinct(), sets).where(linked()).select("u", "v"))
+
+
+def mixed(groups: DataFrame, roots: DataFrame) -> DataFrame:
+    """The groups (key, uid, n) with members of several components, with ``root`` and
+    their ``size`` and ``weight`` (elements); of groups with the same members, one."""
+    rooted = groups.join(roots, "uid", "left").select("key", "uid", "n", F.coalesce("root", "uid").alias("root"))
+    stat = rooted.groupBy("key").agg(
+        F.min("root").alias("a"),
+        F.max("root").alias("b"),
+        F.count(F.lit(1)).alias("size"),
+        F.sum("n").alias("weight"),
+        F.bit_xor(F.xxhash64(F.lit(1), "uid")).alias("x"),
+        F.bit_xor(F.xxhash64(F.lit(2), "uid")).alias("y"),
+    )
+    once = stat.where("a <> b").groupBy("size", "weight", "x", "y").agg(F.min("key").alias("key"))
+    return cut(rooted.join(once.select("key", "size", "weight"), "key"))
+
+
+def large():
+    return (F.col("size") > GROUP_ROWS) | (F.col("weight") > GROUP_ELEMENTS)
+
+
+def with_hub(groups: DataFrame, turn: int) -> DataFrame:
+    """The members (key, uid, n, root) of each group without its hub, the member with the smallest hash, as ``u``."""
+    order = F.xxhash64(F.lit(turn), "uid")
+    hub = groups.groupBy("key").agg(F.min_by("uid", order).alias("u"), F.min_by("n", order).alias("u_n"), F.min_by("root", order).alias("u_root"))
+    return groups.join(hub, "key").where("uid <> u")
+
+
+def split(groups: DataFrame, sets: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Links (u, v) with the groups' hubs, and the groups (key, uid, n) that hold all other links inside them.
+
+    Two linked sets share one of the first n - ceil(0.8 n) + 1 elements of each in
+    any common order; here the hub's elements are the last ones.
+    """
+    pairs = with_hub(groups, turn).select("u", F.col("uid").alias("v")).distinct()
+    ordered = F.concat(F.array_except("tv", "tu"), F.array_intersect("tv", "tu"))
+    n = F.size("tv")
+    prefix = F.slice(ordered, 1, (n - F.ceil(n * F.lit(PERCENT) / 100) + 1).cast("int"))
+    seen = cut(beside(pairs, sets).select("u", "v", linked().alias("linked"), n.cast("long").alias("n"), prefix.alias("prefix")))
+    smaller = seen.select(F.col("u"), F.col("v").alias("uid"), "n", F.explode("prefix").alias("token"))
+    return seen.where("linked").select("u", "v"), smaller.select(F.xxhash64(F.lit(turn), "u", "token").alias("key"), "uid", "n").distinct()
+
+
+def _links(uid: np.ndarray, root: np.ndarray, block: np.ndarray, tokens: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the links between different components in one group, or between its two blocks."""
+    n = np.diff(starts)
     parent: dict[int, int] = {}
 
     def top(x):
@@ -223,122 +278,141 @@ def _linked(part: pa.Table, forest: bool) -> Iterator[tuple[int, int]]:
             parent[x] = x = parent.get(parent[x], parent[x])
         return x
 
-    left = np.flatnonzero(block == low)
+    # In the order of the hashes, linked sets share an element of their prefixes.
+    prefix = [tokens[a : a + k - -(-PERCENT * k // 100) + 1] for a, k in zip(starts[:-1], n, strict=True)]
+    low, high = block.min(), block.max()
     right = np.flatnonzero(block == high)
-    for i in left:
+    tops = root
+    for i in np.flatnonzero(block == low):
         js = right[right > i] if low == high else right
-        js = js[(root[js] != root[i]) & (100 * np.minimum(n[js], n[i]) >= PERCENT * np.maximum(n[js], n[i]))]
-        if len(js):
-            js = js[(sketch[js] == sketch[i]).mean(1) >= LIKELY]
-        if forest and len(js):
-            own = top(root[i])
-            js = np.array([j for j in js if top(root[j]) != own], dtype=np.int64)
+        js = js[(tops[js] != tops[i]) & (100 * np.minimum(n[js], n[i]) >= PERCENT * np.maximum(n[js], n[i]))]
+        if not len(js):
+            continue
+
+        def shared(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+            sizes = np.array([len(o) for o in others])
+            flat = np.concatenate(others)
+            at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+            return np.add.reduceat((own[at] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
+
+        js = js[shared(prefix[i], [prefix[j] for j in js]) > 0]
         if not len(js):
             continue
-        sizes = np.array([len(marks[j]) for j in js])
-        all_marks = np.concatenate([marks[j] for j in js])
-        at = np.minimum(np.searchsorted(marks[i], all_marks), len(marks[i]) - 1)
-        common = np.add.reduceat((marks[i][at] == all_marks).astype(np.int64), np.cumsum(sizes) - sizes)
+        common = shared(tokens[starts[i] : starts[i + 1]], [tokens[starts[j] : starts[j + 1]] for j in js])
         for j in js[100 * common >= PERCENT * (n[i] + n[js] - common)]:
-            if forest:
-                a, b = top(root[i]), top(root[j])
-                if a == b:
-                    continue
+            a, b = top(root[i]), top(root[j])
+            if a != b:
                 parent[max(a, b)] = min(a, b)
-            yield uid[i], uid[j]
+                tops = np.array([top(r) for r in root])
+                yield uid[i], uid[j]
 
 
-def linked_pairs(members: DataFrame, roots: DataFrame, sets: DataFrame, forest: bool) -> DataFrame:
-    """Pairs (u, v) to verify, from the buckets that hold several components."""
-    rooted = members.join(roots, "uid", "left").select("key", "uid", "n", F.coalesce("root", "uid").alias("root"))
-    whole_bucket = Window.partitionBy("key")
-    mixed = rooted.withColumn("a", F.min("root").over(whole_bucket)).withColumn("b", F.max("root").over(whole_bucket)).withColumn("size", F.count(F.lit(1)).over(whole_bucket)).where("a <> b")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+def inner_links(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (u, v) that connect the components in each group as all links there do."""
+    blocks = F.ceil(F.greatest(F.col("size") / GROUP_ROWS, F.col("weight") / GROUP_ELEMENTS)).cast("int")
     dealt = (
-        mixed.withColumn("block", F.pmod(F.xxhash64("uid"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("key", "uid", "n", "root", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+        groups.withColumn("blocks", blocks)
+        .withColumn("block", F.pmod(F.xxhash64(F.lit(3), "uid"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "uid", "root")
         .join(sets, "uid")
+        .select("key", "low", "high", "block", "uid", "root", "tokens")
     )
+    sorted_ = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "uid")
 
-    def run(part: pa.Table) -> pa.Table:
-        pairs = [(min(p), max(p)) for p in _linked(part, forest)]
-        return pa.table({"u": pa.array([p[0] for p in pairs], pa.int64()), "v": pa.array([p[1] for p in pairs], pa.int64())})
-
-    return dealt.groupBy("key", "low", "high").applyInArrow(run, "u long, v long").distinct()
-
-
-def verify(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """u, v, linked: whether the full sets of two representatives reach the threshold.
+    def run(batches):
+        """Groups follow each other; only the last one of what is held may go on in the next slice."""
+        held = None
+        for batch in batches:
+            for at in range(0, batch.num_rows, GROUP_ROWS):
+                part = pa.Table.from_batches([batch.slice(at, GROUP_ROWS)])
+                held = part if held is None else pa.concat_tables([held, part])
+                ends = group_ends(held)
+                if len(ends):
+                    yield as_batch(found(held.slice(0, ends[-1]), ends[:-1]))
+                    held = held.slice(ends[-1])
+        if held is not None:
+            yield as_batch(found(held, group_ends(held)))
+
+    def group_ends(part: pa.Table) -> np.ndarray:
+        return np.flatnonzero(np.any([np.diff(part[c].to_numpy()) != 0 for c in ("key", "low", "high")], axis=0)) + 1
+
+    def found(part: pa.Table, cuts: np.ndarray) -> list[tuple[int, int]]:
+        lists = part["tokens"].combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        tokens = lists.flatten().to_numpy().view(np.uint64)
+        starts = lists.offsets.to_numpy().astype(np.int64)
+        starts = starts - starts[0]
+        uid, root, block = (part[c].to_numpy() for c in ("uid", "root", "block"))
+        edges = [0, *cuts.tolist(), part.num_rows]
+        out = []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            out += _links(uid[a:b], root[a:b], block[a:b], tokens, starts[a : b + 1])
+        return out
+
+    def as_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["u", "v"])
+
+    return cut(map_arrow(sorted_, run, "u long, v long"))
+
+
+def connected(members: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """uid, root of all that links connect, from the buckets (key, uid, n, hub, hub_n)."""
+    spark = members.sparkSession
+    none = spark.createDataFrame([], "uid long, root long")
+    star = members.where("uid <> hub").where(fits(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("u"), F.col("uid").alias("v"))
+    roots = merge(None, star_links(star, sets))
+    groups = mixed(members.select("key", "uid", "n"), none if roots is None else roots)
+    done = []
+    for turn in range(STARS + SPLITS):
+        big = groups.where(large())
+        if not big.limit(1).count():
+            break
+        done.append(groups.where(~large()).select("key", "uid", "n"))
+        if turn < STARS:
+            pairs = with_hub(big, turn).where("root <> u_root").where(fits(F.col("n"), F.col("u_n")))
+            roots = merge(roots, star_links(pairs.select("u", F.col("uid").alias("v")), sets))
+            smaller = big.select("key", "uid", "n")
+        else:
+            links, smaller = split(big, sets, turn)
+            roots = merge(roots, links)
+        groups = mixed(smaller, none if roots is None else roots)
+    if done:  # components may have merged since
+        for d in done:
+            groups = groups.select("key", "uid", "n").unionByName(d)
+        groups = mixed(groups, none if roots is None else roots)
+    return merge(roots, inner_links(groups, sets))
+
+
+def _rooted(named: DataFrame, marked: DataFrame, words: int) -> DataFrame:
+    """s1, s2, k, hash, root: each set, its first row, and the smallest set number of its component."""
+    order = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("k"), "hash")
+    reps = marked.where("n > 0").groupBy("s1", "s2").agg(F.min(order).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    reps = cut(reps.select("s1", "s2", "rep.k", "rep.hash", "n", "bands", F.monotonically_increasing_id().alias("uid")))
 
-    Pairs gather at their first member, ``FAN`` to a group, so a member of many
-    pairs is sent to as many groups as it needs.
-    """
-    groups = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("u")) / FAN)
-    asked = pairs.withColumn("groups", groups).select("u", "v", F.pmod(F.xxhash64("v"), F.col("groups")).alias("part"))
-    wanted = asked.select("u", "part", F.explode(F.array("v", "u")).alias("uid")).distinct()
-    sent = wanted.join(texts.select("uid", "text"), "uid")
-
-    def run(part: pa.Table) -> pa.Table:
-        hub = part["u"][0].as_py()
-        ids, at = np.unique(part["uid"].to_numpy(), return_index=True)
-        column = part["text"].take(pa.array(at)).combine_chunks()
-        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-        value, starts = shingle_sets(column, words)
-        sets = {int(i): value[a:b] for i, a, b in zip(ids, starts[:-1], starts[1:], strict=True)}
-        own, rows = sets[hub], []
-        for i, other in sets.items():
-            if i != hub:
-                common = len(np.intersect1d(own, other, assume_unique=True))
-                rows.append((i, 100 * common >= PERCENT * (len(own) + len(other) - common)))
-        return pa.table({"u": pa.array([hub] * len(rows), pa.int64()), "v": pa.array([r[0] for r in rows], pa.int64()), "linked": pa.array([r[1] for r in rows], pa.bool_())})
-
-    return cut(sent.groupBy("u", "part").applyInArrow(run, "u long, v long, linked boolean"))
+    keyed = reps.select(F.explode("bands").alias("key"), "uid", "n")
+    # Aggregated before the exchange, so a bucket of a third of all rows loads no task.
+    shared = keyed.groupBy("key").agg(F.min("uid").alias("hub"), F.min_by("n", "uid").alias("hub_n"), F.max("uid").alias("last")).where("hub < last")
+    members = cut(keyed.join(shared.drop("last"), "key"))
+
+    busy = reps.join(members.select("uid").distinct(), "uid", "left_semi").select("uid", "k", "hash")
+    # Rows that repeat identifier and text are aggregated before the exchange.
+    own = named.groupBy(F.coalesce("doc_id", F.lit(_LAST)).alias("k"), "hash").agg(F.first("text").alias("text"))
+    texts = busy.join(own, ["k", "hash"]).select("uid", "text")
+    roots = connected(members, cut(with_sets(texts, words)))
+    if roots is None:
+        roots = named.sparkSession.createDataFrame([], "uid long, root long")
+    return reps.select("s1", "s2", "k", "hash", "uid").join(roots, "uid", "left").select("s1", "s2", "k", "hash", F.coalesce("root", "uid").alias("root"))
 
 
 def _grouped(df: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, hash (of the text), n, and the first row of its component: k (its identifier), first_hash."""
     spark = df.sparkSession
     find_package(spark)
-    docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    named = docs.withColumn("hash", F.xxhash64("text"))
-    marked = cut(describe(named, words))
-    order = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("k"), "hash")
-    reps = marked.where("n > 0").groupBy("s1", "s2").agg(F.min(order).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    reps = cut(reps.select("s1", "s2", "rep.k", "rep.hash", "n", "bands", "sketch", F.monotonically_increasing_id().alias("uid")))
-
-    bucket = Window.partitionBy("key")
-    keyed = reps.select(F.explode("bands").alias("key"), "uid", "n")
-    members = cut(keyed.withColumn("hub", F.min(F.struct("uid", "n")).over(bucket)).withColumn("size", F.count(F.lit(1)).over(bucket)).where("size > 1").select("key", "uid", "n", "hub"))
-    fits = 100 * F.least("n", "hub.n") >= PERCENT * F.greatest("n", "hub.n")
-    star = members.where(F.col("uid") != F.col("hub.uid")).where(fits).select(F.col("hub.uid").alias("u"), F.col("uid").alias("v")).distinct()
-
-    star = cut(star)
-    busy = members.select("uid").distinct().join(reps.select("uid", "k", "hash", "sketch"), "uid")
-    own = named.select(F.coalesce("doc_id", F.lit(_LAST)).alias("k"), "hash", "text")
-    texts = cut(busy.join(own, ["k", "hash"]).select("uid", "text", "sketch"))
-
-    checked = verify(star, texts, words)
-    roots = merge(None, checked.where("linked").select("u", "v"))
-    for forest in (True, False):
-        now = roots if roots is not None else spark.createDataFrame([], "uid long, root long")
-        more = linked_pairs(members, now, with_sets(texts, words), forest)
-        if not forest:
-            more = more.join(tested, ["u", "v"], "left_anti")
-        more = cut(more)
-        if not more.limit(1).count():
-            break
-        found = verify(more, texts, words)
-        roots = merge(roots, found.where("linked").select("u", "v"))
-        # A mark stands for its hash but for collisions; only after one can anything be left.
-        if not found.where("not linked").limit(1).count():
-            break
-        tested = found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    if roots is None:
-        roots = spark.createDataFrame([], "uid long, root long")
-
-    placed = reps.select("s1", "s2", "k", "hash", "uid").join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-    placed = cut(placed)
+    named = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    marked = cut(describe(named, words), keep=True)
+    with temporary(spark):
+        placed = cut(_rooted(named, marked, words), keep=True)
     least = placed.groupBy("root").agg(F.min(F.struct("k", "hash")).alias("first"))
     named_sets = placed.join(least, "root").select("s1", "s2", "first")
     own_row = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("k"), "hash")
@@ -353,11 +427,17 @@ def group(df: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str =
 
 
 def drop_duplicates(df: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df``, with all their columns, without all but one of each component."""
+    """The rows of ``df``, with all their columns, without all but one of each component.
+
+    The row with the smallest identifier stays; of several with that identifier
+    the one whose text has the smallest hash, and of rows equal in both the one
+    with the smallest hash of all columns.  Rows equal in everything are copies, one stays.
+    """
     firsts = _grouped(df, words, id_col, text_col).where(F.coalesce("doc_id", F.lit(_LAST)).eqNullSafe(F.col("k")) & (F.col("hash") == F.col("first_hash")))
-    keys = firsts.select(F.col("k").alias("_first_k"), F.col("hash").alias("_first_hash"))
-    marked = df.withColumn("_first_k", F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LAST))).withColumn("_first_hash", F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
-    kept = marked.join(keys, ["_first_k", "_first_hash"], "left_semi")
-    # Rows that repeat identifier and text are copies, too.
-    once = kept.withColumn("_first_row", F.row_number().over(Window.partitionBy("_first_k", "_first_hash").orderBy(F.lit(0))))
-    return once.where("_first_row = 1").select(*(F.col(f"`{c}`") for c in df.columns))
+    keys = firsts.select("k", "hash").distinct()
+    # Columns go by number here, so no name of the table's can be in the way.
+    numbered = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    key = F.coalesce(F.col(f"c{df.columns.index(id_col)}").cast("long"), F.lit(_LAST))
+    text = F.coalesce(F.col(f"c{df.columns.index(text_col)}"), F.lit(""))
+    once = numbered.groupBy(key.alias("k"), F.xxhash64(text).alias("hash")).agg(F.min_by(F.struct(*numbered.columns), row_hash(numbered)).alias("row"))
+    return once.join(keys, ["k", "hash"], "left_semi").select("row.*").toDF(*df.columns)

@@ -56,7 +56,9 @@ SIZE = BANDS * ROWS
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 80
 #: Members, and elements of their sets, of a group that one task compares.
-GROUP_ROWS, GROUP_ELEMENTS = 128, 1 << 18
+GROUP_ROWS, GROUP_ELEMENTS = 2048, 1 << 20
+#: Rows that are read at once on the way to a group.
+SLICE = 256
 #: Further stars in large groups, and splits of those that remain.
 STARS, SPLITS = 2, 3
 _LAST = (1 << 63) - 1
@@ -246,11 +248,11 @@ def large():
     return (F.col("size") > GROUP_ROWS) | (F.col("weight") > GROUP_ELEMENTS)
 
 
-def with_hub(groups: DataFrame, turn: int) -> DataFrame:
-    """The members (key, uid, n, root) of each group without its hub, the member with the smallest hash, as ``u``."""
+def with_hub(groups: DataFrame, turn: int, apart: bool) -> DataFrame:
+    """The members (key, uid, n, root) of each group beside its hub ``u``, the one with the smallest hash; ``apart``: those that may be linked with it and aren't connected yet."""
     order = F.xxhash64(F.lit(turn), "uid")
     hub = groups.groupBy("key").agg(F.min_by("uid", order).alias("u"), F.min_by("n", order).alias("u_n"), F.min_by("root", order).alias("u_root"))
-    return groups.join(hub, "key").where("uid <> u")
+    return groups.join(hub, "key").where(((F.col("root") != F.col("u_root")) & fits(F.col("n"), F.col("u_n"))) if apart else F.col("uid") != F.col("u"))
 
 
 def split(groups: DataFrame, sets: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
@@ -259,7 +261,7 @@ def split(groups: DataFrame, sets: DataFrame, turn: int) -> tuple[DataFrame, Dat
     Two linked sets share one of the first n - ceil(0.8 n) + 1 elements of each in
     any common order; here the hub's elements are the last ones.
     """
-    pairs = with_hub(groups, turn).select("u", F.col("uid").alias("v")).distinct()
+    pairs = with_hub(groups, turn, False).select("u", F.col("uid").alias("v")).distinct()
     ordered = F.concat(F.array_except("tv", "tu"), F.array_intersect("tv", "tu"))
     n = F.size("tv")
     prefix = F.slice(ordered, 1, (n - F.ceil(n * F.lit(PERCENT) / 100) + 1).cast("int"))
@@ -278,24 +280,32 @@ def _links(uid: np.ndarray, root: np.ndarray, block: np.ndarray, tokens: np.ndar
             parent[x] = x = parent.get(parent[x], parent[x])
         return x
 
-    # In the order of the hashes, linked sets share an element of their prefixes.
-    prefix = [tokens[a : a + k - -(-PERCENT * k // 100) + 1] for a, k in zip(starts[:-1], n, strict=True)]
+    # Linked sets share an element of their prefixes, here with the group's rare elements first.
+    first = starts - starts[0]
+    member = np.repeat(np.arange(len(n)), n)
+    _, element, held = np.unique(tokens[starts[0] : starts[-1]], return_inverse=True, return_counts=True)
+    element = element[np.lexsort((element, held[element], member))]
+    place = np.arange(first[-1]) - first[:-1][member]
+    used = (place < (n + PERCENT * n // -100 + 1)[member]) & (held[element] > 1)
+    element, member = element[used], member[used]
+    own = np.searchsorted(member, np.arange(len(n) + 1))
+    listed = member[np.argsort(element, kind="stable")]
+    lists = np.concatenate([[0], np.cumsum(np.bincount(element, minlength=len(held)))])
+
+    def shared(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+        sizes = np.array([len(o) for o in others])
+        flat = np.concatenate(others)
+        at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+        return np.add.reduceat((own[at] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
+
     low, high = block.min(), block.max()
-    right = np.flatnonzero(block == high)
     tops = root
     for i in np.flatnonzero(block == low):
-        js = right[right > i] if low == high else right
+        e = element[own[i] : own[i + 1]]
+        sizes = lists[e + 1] - lists[e]
+        js = np.unique(listed[np.repeat(lists[e] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())])
+        js = js[js > i] if low == high else js[block[js] == high]
         js = js[(tops[js] != tops[i]) & (100 * np.minimum(n[js], n[i]) >= PERCENT * np.maximum(n[js], n[i]))]
-        if not len(js):
-            continue
-
-        def shared(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
-            sizes = np.array([len(o) for o in others])
-            flat = np.concatenate(others)
-            at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
-            return np.add.reduceat((own[at] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
-
-        js = js[shared(prefix[i], [prefix[j] for j in js]) > 0]
         if not len(js):
             continue
         common = shared(tokens[starts[i] : starts[i + 1]], [tokens[starts[j] : starts[j + 1]] for j in js])
@@ -324,8 +334,8 @@ def inner_links(groups: DataFrame, sets: DataFrame) -> DataFrame:
         """Groups follow each other; only the last one of what is held may go on in the next slice."""
         held = None
         for batch in batches:
-            for at in range(0, batch.num_rows, GROUP_ROWS):
-                part = pa.Table.from_batches([batch.slice(at, GROUP_ROWS)])
+            for at in range(0, batch.num_rows, SLICE):
+                part = pa.Table.from_batches([batch.slice(at, SLICE)])
                 held = part if held is None else pa.concat_tables([held, part])
                 ends = group_ends(held)
                 if len(ends):
@@ -370,7 +380,7 @@ def connected(members: DataFrame, sets: DataFrame) -> DataFrame | None:
             break
         done.append(groups.where(~large()).select("key", "uid", "n"))
         if turn < STARS:
-            pairs = with_hub(big, turn).where("root <> u_root").where(fits(F.col("n"), F.col("u_n")))
+            pairs = with_hub(big, turn, True)
             roots = merge(roots, star_links(pairs.select("u", F.col("uid").alias("v")), sets))
             smaller = big.select("key", "uid", "n")
         else:

@@ -1,19 +1,23 @@
 """Quality (operator 9): attention-based multiple-instance learning in numpy.
 
-A document is a bag of passages of ``PASSAGE`` words.  Each passage is encoded
-by a small network over what its words look like (letters, cases, signs,
-repetition).  A gated attention, learned from the documents' labels alone,
-weighs the passages, and the weighted sum of their codes gives the score:
-
-    h = tanh(x W + b)      a = softmax(tanh(h V) * sigmoid(h U) . w)
+A document is a bag of passages of ``PASSAGE`` words.  A passage is encoded from
+its subwords: a word's vector is the average of the learned vectors of its
+character n-grams (hashed into ``BUCKETS``), a passage's the average of its words'.
+Beside that vector m stand a few shares x of signs, cases and repeated words,
+which averages of words can't show.  A gated attention, learned from the
+documents' labels alone, weighs the passages, and the weighted sum of their codes
+gives the score:
+
+    h = tanh(m W' + x W + b)      a = softmax(tanh(h V) * sigmoid(h U) . w)
     score = sigmoid(sum(a h) . c + d)
 
-Training is by Adam on a bounded sample of labelled rows.
+Everything is trained jointly, the n-grams' vectors too, by Adam on a bounded
+sample of labelled rows.
 
 Defined cases: a null or empty text has one passage with the empty word; with
-labels of one class only (or none) every score is that class's share (0.5);
-repeated rows get equal scores; every passage of every text is read; labels,
-lang, source and doc_id are no inputs.
+labels of one class only (or none) there is nothing to learn and every score is
+0.5; repeated rows get equal scores; every passage of every text is read; labels,
+lang, source and doc_id are no inputs; extra columns play no part.
 """
 
 from __future__ import annotations
@@ -27,11 +31,15 @@ from pyspark.sql import functions as F
 
 from . import sample
 from .common import map_arrow, size_chunks, text_column
+from .toxicity import entry_chunks, grams
 from .words import Words, spans, split
 
 PASSAGE = 64
 CODE, GATE = 16, 8
-EPOCHS, BATCH, RATE = 40, 256, 0.01
+#: Hashed n-grams of 3 to 5 bytes, and the length of their vectors.
+BUCKETS, WIDTH = 1 << 14, 8
+#: Passes over the sample at least, and steps at least.
+EPOCHS, STEPS, BATCH, RATE = 12, 300, 256, 0.01
 SEED = 9
 THRESHOLD = 0.5
 #: Signs counted one by one; fixed values.
@@ -71,8 +79,65 @@ def word_features(words: Words) -> np.ndarray:
     return out
 
 
-def passages(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Features of every passage, and the first passage of each document (and their number)."""
+@dataclass
+class Bags:
+    """Passages: shares ``x``, their words ``index`` from ``runs[i]`` to ``runs[i + 1]``; ``first``
+    is the first passage of each document (and their number).  Dictionary entry j has
+    the n-grams from ``gram_at[j]`` to ``gram_at[j + 1]`` of ``gram``."""
+
+    x: np.ndarray
+    index: np.ndarray
+    runs: np.ndarray
+    first: np.ndarray
+    gram: np.ndarray
+    gram_at: np.ndarray
+
+    def take(self, docs: np.ndarray) -> Bags:
+        """The passages of some documents; the dictionary holds their words only."""
+        rows, first = _ranges(self.first[:-1][docs], np.diff(self.first)[docs])
+        at, runs = _ranges(self.runs[:-1][rows], np.diff(self.runs)[rows])
+        entries, index = np.unique(self.index[at], return_inverse=True)
+        of, gram_at = _ranges(self.gram_at[:-1][entries], np.diff(self.gram_at)[entries])
+        return Bags(self.x[rows], index, runs, first, self.gram[of], gram_at)
+
+    def means(self, table: np.ndarray) -> np.ndarray:
+        """The vector of each passage."""
+        sizes = np.diff(self.gram_at)
+        entries = np.zeros((len(sizes), table.shape[1]), dtype=np.float32)
+        full = np.flatnonzero(sizes)
+        if len(full):
+            entries[full] = np.add.reduceat(table[self.gram], self.gram_at[:-1][full]) / sizes[full, None]
+        return np.add.reduceat(entries[self.index], self.runs[:-1]) / np.diff(self.runs)[:, None]
+
+    def spread(self, of_passage: np.ndarray, buckets: int) -> np.ndarray:
+        """The gradient of the n-grams' vectors from that of the passages' vectors."""
+        which = np.repeat(np.arange(len(self.x)), np.diff(self.runs))
+        share = of_passage / np.diff(self.runs)[:, None]
+        sizes = np.diff(self.gram_at)
+        entry = np.repeat(np.arange(len(sizes)), sizes)
+        out = np.empty((buckets, of_passage.shape[1]))
+        for k in range(out.shape[1]):
+            of_entry = np.bincount(self.index, weights=share[which, k], minlength=len(sizes)) / np.maximum(sizes, 1)
+            out[:, k] = np.bincount(self.gram, weights=of_entry[entry], minlength=buckets)
+        return out
+
+
+def _ranges(begin: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of several ranges one after the other, and where each range begins there."""
+    first = np.concatenate([[0], np.cumsum(n)])
+    return np.repeat(begin - first[:-1], n) + np.arange(first[-1]), first
+
+
+def word_grams(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    held, parts = [np.zeros(1, dtype=np.int64)], []
+    for low, high in entry_chunks(words):
+        e, b = grams(words, low, high)
+        held.append(np.bincount(e, minlength=high - low))
+        parts.append(b[np.argsort(e, kind="stable")] % BUCKETS)
+    return np.concatenate(parts), np.cumsum(np.concatenate(held))
+
+
+def passages(words: Words) -> Bags:
     runs, first = spans(words.starts, PASSAGE)
     total = len(words.index)
     sizes = np.diff(np.append(runs, total))
@@ -90,7 +155,7 @@ def passages(words: Words) -> tuple[np.ndarray, np.ndarray]:
     x[:, k + 1] = np.add.reduceat(same.astype(np.int64), runs) / sizes
     x[:, k + 2] = np.minimum(sizes, PASSAGE) / PASSAGE
     x[:, k + 3] = np.log1p(np.diff(first))[np.repeat(np.arange(len(first) - 1), np.diff(first))] / 5
-    return x, first
+    return Bags(x, words.index, np.append(runs, total), first, *word_grams(words))
 
 
 @dataclass
@@ -100,29 +165,30 @@ class Model:
     params: list[np.ndarray]
     constant: float | None = None
 
-    def forward(self, x: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
-        w, b, v, u, g, c, d = self.params
+    def forward(self, bags: Bags) -> dict[str, np.ndarray]:
+        table, e, w, b, v, u, g, c, d = self.params
+        first = bags.first
         which = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        x = (x - self.mean) / self.scale
-        h = np.tanh(x @ w + b)
+        x, m = (bags.x - self.mean) / self.scale, bags.means(table)
+        h = np.tanh(m @ e + x @ w + b)
         t, s = np.tanh(h @ v), 1 / (1 + np.exp(-(h @ u)))
-        e = (t * s) @ g
-        a = np.exp(e - np.maximum.reduceat(e, first[:-1])[which])
+        z = (t * s) @ g
+        a = np.exp(z - np.maximum.reduceat(z, first[:-1])[which])
         a /= np.add.reduceat(a, first[:-1])[which]
         z = np.add.reduceat(a[:, None] * h, first[:-1])
-        return {"x": x, "h": h, "t": t, "s": s, "a": a, "z": z, "which": which, "p": 1 / (1 + np.exp(-np.clip(z @ c + d[0], -30, 30)))}
+        return {"x": x, "m": m, "h": h, "t": t, "s": s, "a": a, "z": z, "which": which, "p": 1 / (1 + np.exp(-np.clip(z @ c + d[0], -30, 30)))}
 
     def scores(self, column: pa.Array) -> np.ndarray:
         if not len(column):
             return np.zeros(0)
         if self.constant is not None:
             return np.full(len(column), self.constant)
-        return self.forward(*passages(split(column)))["p"].astype(np.float64)
+        return self.forward(passages(split(column)))["p"].astype(np.float64)
 
 
-def gradients(model: Model, x: np.ndarray, first: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
-    w, b, v, u, g, c, d = model.params
-    f = model.forward(x, first)
+def gradients(model: Model, bags: Bags, y: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+    table, e, w, b, v, u, g, c, d = model.params
+    f, first = model.forward(bags), bags.first
     h, t, s, a, which = f["h"], f["t"], f["s"], f["a"], f["which"]
     dl = (f["p"] - y) * weight / len(y)
     dz = dl[:, None] * c[None, :]
@@ -132,7 +198,7 @@ def gradients(model: Model, x: np.ndarray, first: np.ndarray, y: np.ndarray, wei
     dt, ds = dts * s * (1 - t * t), dts * t * s * (1 - s)
     dh = a[:, None] * dz[which] + dt @ v.T + ds @ u.T
     dx = dh * (1 - h * h)
-    return [f["x"].T @ dx, dx.sum(0), h.T @ dt, h.T @ ds, (t * s).T @ de, f["z"].T @ dl, np.array([dl.sum()])]
+    return [bags.spread(dx @ e.T, len(table)), f["m"].T @ dx, f["x"].T @ dx, dx.sum(0), h.T @ dt, h.T @ ds, (t * s).T @ de, f["z"].T @ dl, np.array([dl.sum()])]
 
 
 def train(texts: list[str], labels: list[int], weights: list[float] | None = None, epochs: int = EPOCHS, seed: int = SEED) -> Model:
@@ -140,27 +206,27 @@ def train(texts: list[str], labels: list[int], weights: list[float] | None = Non
     weight = np.ones(len(y)) if weights is None else np.array(weights)
     if len(set(labels)) < 2:
         return Model(np.zeros(FEATURES), np.ones(FEATURES), [], 0.5)
-    x, first = passages(split(pa.array(texts, pa.string())))
+    bags = passages(split(pa.array(texts, pa.string())))
     rng = np.random.default_rng(seed)
     init = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape)
-    model = Model(x.mean(0), x.std(0) + 0.05, [init(FEATURES, CODE), np.zeros(CODE), init(CODE, GATE), init(CODE, GATE), init(GATE), init(CODE), np.zeros(1)])
-    state = [(np.zeros_like(p), np.zeros_like(p)) for p in model.params]
-    step = 0
+    table = rng.normal(0, 0.1, (BUCKETS, WIDTH))
+    params = [table, init(WIDTH, CODE), init(FEATURES, CODE), np.zeros(CODE), init(CODE, GATE), init(CODE, GATE), init(GATE), init(CODE), np.zeros(1)]
+    model = Model(bags.x.mean(0), bags.x.std(0) + 0.05, params)
+    state = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
+    step, epochs = 0, max(epochs, -(-STEPS // -(-len(y) // BATCH)))
     for epoch in range(epochs):
         order = rng.permutation(len(y))
         rate = RATE * (1 - epoch / epochs) + RATE / 20
         for at in range(0, len(order), BATCH):
             step += 1
             docs = np.sort(order[at : at + BATCH])
-            n = np.diff(first)[docs]
-            begin = np.concatenate([[0], np.cumsum(n)])
-            rows = np.repeat(first[:-1][docs] - begin[:-1], n) + np.arange(begin[-1])
-            for p, grad, (m1, m2) in zip(model.params, gradients(model, x[rows], begin, y[docs], weight[docs]), state, strict=True):
+            for p, grad, (m1, m2) in zip(params, gradients(model, bags.take(docs), y[docs], weight[docs]), state, strict=True):
                 m1 *= 0.9
                 m1 += 0.1 * grad
                 m2 *= 0.99
                 m2 += 0.01 * grad * grad
                 p -= rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8) + rate * 1e-4 * p
+    params[0] = table.astype(np.float32)
     return model
 
 

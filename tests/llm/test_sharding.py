@@ -1,5 +1,7 @@
+import zlib
 from collections import Counter, defaultdict
 
+import xxhash
 from pyspark.sql import functions as F
 from tillroll.llm import queries, sharding
 
@@ -48,10 +50,49 @@ def test_odd_rows(odd, odd_rows, none):
     assert sharding.shuffle_into_shards(odd, "doc_id", 2).select("record.*").columns == odd.columns
 
 
+def plain_shard(key, shards, seed=sharding.SEED):
+    """Rendezvous hashing with the public XXH64; hashes count as signed numbers."""
+
+    def draw(i):
+        h = 42  # Spark's seed
+        for value, width in ((seed, 4), (key, 8), (i, 4)):
+            h = xxhash.xxh64_intdigest(value.to_bytes(width, "little", signed=True), h)
+        return h - (1 << 64) if h >> 63 else h
+
+    return max((draw(i), i) for i in range(shards))[1]
+
+
+def test_query_by_loops(spark, small):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    rows = queries.op1_sharding(spark, small).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
+    slots = defaultdict(list)
+    for r in rows:
+        raw = (texts[r["doc_id"]] or "").encode()
+        want = (len(raw) + 8, zlib.crc32(raw), "key", plain_shard(r["doc_id"], 24), plain_shard(r["doc_id"], 25))
+        assert (r["size"], r["text_crc32"], r["law"], r["shard"], r["grown_shard"]) == want
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_equal_rows_spread(spark):
+    """A third of all rows equal: they take all buckets of their shard, and none is lost."""
+    docs = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("doc_id"), F.lit("four").alias("text"))
+    out = sharding.shuffle_into_shards(docs, "doc_id", 2, F.octet_length("text"), bucket_bytes=4000).withColumn("task", F.spark_partition_id())
+    tasks = out.groupBy("shard", "task").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("record.doc_id") == -1, 1)).alias("same")).collect()
+    assert sum(t["n"] for t in tasks) == 60_000 and max(t["n"] for t in tasks) < 3000
+    assert {t["shard"] for t in tasks if t["same"]} == {plain_shard(-1, 2)} and max(t["same"] for t in tasks) < 1500
+    slots = out.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("slot").alias("d"), F.min("slot").alias("a"), F.max("slot").alias("b")).collect()
+    assert all(s["n"] == s["d"] == s["b"] + 1 and s["a"] == 0 for s in slots)
+
+
 def test_written_shards(spark, odd, tmp_path):
-    plain = odd.select("doc_id", "text")
-    sharding.write_shards(sharding.shuffle_into_shards(plain, "doc_id", 3), str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out")).count() == odd.count()
+    shuffled = sharding.shuffle_into_shards(odd, "doc_id", 3)
+    sharding.write_shards(shuffled, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    got = back.select("doc_id", "text", "_first_k", "__shard", "__slot", "map").collect()
+    want = shuffled.select("record.doc_id", "record.text", "record._first_k", "shard", "slot", "record.map").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, map(tuple, want)))
 
 
 def test_native(spark, small):

@@ -13,13 +13,17 @@ one more shard takes records only into itself (its number wins against the old
 winner or not; nothing else changes).
 
 The exchange carries each record once.  The first slots of the buckets come from
-a count over the keys alone and travel through the same exchange, so nothing is
-joined or broadcast.
-
-Defined cases: records with equal keys (repeated rows) share a shard but are
-spread over its buckets by a hash of their other columns; a null key is a key
-like any other; null columns and extra columns of any name are carried along;
-an empty table gives no rows.
+counts by bucket and travel through the same exchange, so nothing is joined or
+broadcast.  The bucket depends on the whole record, so records with equal keys
+spread; only rows that are equal in everything meet in one bucket.  Where a bucket
+comes out ``HOT`` times too large, its rows are numbered in a written table and
+dealt by their numbers over all buckets of the shard.
+
+Defined cases: repeated keys share a shard, equal rows too, spread over its buckets;
+a null key is a key like any other; null columns, maps and extra columns of any
+name are carried along; an empty table gives no rows.  The slots depend on key,
+seed and records alone, but where a bucket was too large also on the rows' order
+in the input.
 """
 
 from __future__ import annotations
@@ -28,8 +32,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import cut, row_hash
+
 #: Bytes of records that one task shuffles in memory.
 BUCKET_BYTES = 4 << 20
+#: A bucket with so many times these bytes is dealt anew.
+HOT = 4
 SEED = 42
 
 
@@ -51,38 +59,53 @@ def shuffle_into_shards(df: DataFrame, key_col: str, shards: int, size: Column |
     ``size`` gives a record's bytes and sets the number of buckets; without it
     a kilobyte each is assumed.
     """
-    key = F.col("record")[key_col]
-    total = df.agg(F.count(F.lit(1)).alias("n"), F.sum(size if size is not None else F.lit(1024)).alias("b")).first()
-    per_shard = max(1, -(-(total["b"] or 0) // (bucket_bytes * shards)))
-    columns = [F.col(f"`{c}`") for c in df.columns]
-    # The second hash takes in the record's short columns, and the lengths of its texts, so that equal keys spread.
-    rest = [F.length(c) if t in ("string", "binary") else c for c, (_, t) in zip(columns, df.dtypes, strict=True) if not t.startswith(("map", "variant"))]
+    size = size if size is not None else F.lit(1024)
+    total = df.agg(F.sum(size).alias("b")).first()["b"] or 0
+    per_shard = max(1, -(-total // (bucket_bytes * shards)))
+    key = F.col(f"`{key_col}`")
     dealt = df.select(
-        F.struct(*columns).alias("record"),
-        shard_of(F.col(f"`{key_col}`"), shards, seed).alias("shard"),
-        F.pmod(F.xxhash64(F.lit(seed + 1), F.col(f"`{key_col}`"), *rest), F.lit(per_shard)).cast("int").alias("part"),
+        F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("record"),
+        size.cast("long").alias("size"),
+        F.struct(F.xxhash64(F.lit(seed), key).alias("h"), row_hash(df).alias("tie")).alias("rank"),
+        shard_of(key, shards, seed).alias("shard"),
     )
-    bucket = (F.col("shard") * F.lit(per_shard) + F.col("part")).cast("int")
-
-    counts = dealt.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    firsts = counts.select(F.lit(None).cast(dealt.schema["record"].dataType).alias("record"), bucket.alias("bucket"), before.alias("first"))
-
-    records = dealt.select("record", bucket.alias("bucket"), F.lit(None).cast("long").alias("first"))
-    buckets = shards * per_shard
+    bucket = lambda part: (F.col("shard") * F.lit(per_shard) + F.pmod(part, F.lit(per_shard))).cast("int").alias("bucket")
+    dealt = dealt.select("*", bucket(F.xxhash64(F.lit(seed + 1), "rank")))
+    counts = cut(dealt.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("b")))
+    hot = counts.where(F.col("b") > HOT * bucket_bytes).select("bucket")
+    if per_shard > 1 and hot.limit(1).count():
+        numbered = cut(dealt.join(hot, "bucket", "left_semi").drop("bucket").withColumn("number", F.monotonically_increasing_id()))
+        spread = numbered.select("*", bucket(F.xxhash64(F.lit(seed + 2), "number"))).drop("number")
+        dealt = dealt.join(hot, "bucket", "left_anti").unionByName(spread)
+        counts = counts.join(hot, "bucket", "left_anti").select("shard", "bucket", "n").unionByName(spread.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n")))
+        counts = counts.groupBy("shard", "bucket").agg(F.sum("n").alias("n"))
+
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    none = lambda c: F.lit(None).cast(dealt.schema[c].dataType).alias(c)
+    firsts = counts.select(none("record"), none("rank"), "bucket", before.alias("first"))
+    records = dealt.select("record", "rank", "bucket", F.lit(None).cast("long").alias("first"))
     # Partition b holds bucket b and nothing else, so the seed of its shuffle is always the same.
-    scattered = records.unionByName(firsts).repartitionById(buckets, F.col("bucket"))
-    held = scattered.groupBy("bucket").agg(
-        F.sort_array(F.collect_list(F.when(F.col("first").isNull(), F.struct(F.xxhash64(F.lit(seed), key).alias("h"), "record")))).alias("records"),
-        F.max("first").alias("first"),
-    )
-    return held.select("bucket", "first", F.posexplode(F.shuffle("records", F.lit(seed))).alias("at", "one")).select(
-        F.col("one.record").alias("record"),
+    scattered = records.unionByName(firsts).repartitionById(shards * per_shard, F.col("bucket"))
+    held = scattered.groupBy("bucket").agg(F.collect_list(F.when(F.col("first").isNull(), F.struct("rank", "record"))).alias("records"), F.max("first").alias("first"))
+    # Places are sorted and shuffled, as records may hold what has no order (maps).
+    places = F.transform("records", lambda r, i: F.struct(r["rank"].alias("rank"), i.alias("i")))
+    shuffled = F.transform(F.shuffle(F.sort_array(places), F.lit(seed)), lambda o: F.get("records", o["i"])["record"])
+    return held.select("bucket", "first", F.posexplode(shuffled).alias("at", "record")).select(
+        "record",
         F.floor(F.col("bucket") / F.lit(per_shard)).cast("int").alias("shard"),
         (F.col("first") + F.col("at")).cast("long").alias("slot"),
     )
 
 
 def write_shards(shuffled: DataFrame, path: str) -> None:
-    """One folder for each shard, the records of a bucket in one file in their slots' order."""
-    shuffled.select("record.*", F.col("shard").alias("_shard"), F.col("slot").alias("_slot")).write.partitionBy("_shard").parquet(path)
+    """One folder for each shard, the records of a bucket in one file in their slots' order.
+
+    The folders go by ``_shard`` and the slots by ``_slot``, with as many more
+    underscores before them as it takes to differ from the record's columns.
+    """
+    taken = {c.lower() for c in shuffled.schema["record"].dataType.names}
+
+    def free(name):
+        return free("_" + name) if name in taken else name
+
+    shuffled.select("record.*", F.col("shard").alias(free("_shard")), F.col("slot").alias(free("_slot"))).write.partitionBy(free("_shard")).parquet(path)

@@ -45,6 +45,8 @@ CAPACITY = 2048
 END = 0
 BLOCK = 4096
 ISLANDS, ROUNDS = 2, 2
+#: Most tasks of a round; beyond, a task takes several islands one after the other.
+TASKS = 8192
 POPULATION, CHILDREN = 6, 16
 #: Bins of a first block that are filled less than this are packed again with those of other blocks.
 GOOD = 0.97
@@ -243,7 +245,7 @@ def _state(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(columns, _STATE_TYPES, strict=True)], names=_STATE_NAMES)
 
 
-def _evolved_blocks(items: DataFrame, capacity: int, seed: int) -> DataFrame:
+def _evolved_blocks(items: DataFrame, blocks: int, capacity: int, seed: int) -> DataFrame:
     """block, labels: the best grouping of each block's items, in the order of ``_ORDER``."""
 
     def start(part: pa.Table) -> pa.Table:
@@ -267,7 +269,8 @@ def _evolved_blocks(items: DataFrame, capacity: int, seed: int) -> DataFrame:
 
     state = items.groupBy("block").applyInArrow(start, _STATE)
     for _ in range(ROUNDS):
-        state = state.groupBy("block", "island").applyInArrow(live, _STATE)
+        # A given number of tasks: they are small in bytes, not in work, so they aren't put together.
+        state = state.repartition(min(TASKS, blocks * ISLANDS), "block", "island").groupBy("block", "island").applyInArrow(live, _STATE)
     return state.groupBy("block").agg(F.min_by("labels", F.struct("bins", "rank", "island", "guest")).alias("labels"))
 
 
@@ -300,16 +303,16 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, seed: int = 1) -> DataFrame
     full = parts.where(F.col("length") >= capacity).withColumn("sequence_id", -1 - F.col("uid")).withColumn("offset", F.lit(0).cast("long"))
     rest = parts.where(F.col("length") < capacity)
 
-    def blocked(items: DataFrame, n: int, first: int) -> DataFrame:
-        blocks = max(1, round(n / BLOCK))
+    def blocked(items: DataFrame, blocks: int, first: int) -> DataFrame:
         return items.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "uid"), F.lit(blocks)) + first)
 
-    n = rest.count()
-    items = blocked(rest, n, 0)
-    placed = cut(_placed(items, _evolved_blocks(items, capacity, seed), capacity, False))
+    blocks = max(1, round(rest.count() / BLOCK))
+    items = blocked(rest, blocks, 0)
+    placed = cut(_placed(items, _evolved_blocks(items, blocks, capacity, seed), capacity, False))
     open_ = placed.where("sequence_id is null")
-    again = blocked(open_.drop("block", "sequence_id", "offset"), open_.count(), max(1, round(n / BLOCK)))
-    last = _placed(again, _evolved_blocks(again, capacity, seed + 1), capacity, True)
+    more = max(1, round(open_.count() / BLOCK))
+    again = blocked(open_.drop("block", "sequence_id", "offset"), more, blocks)
+    last = _placed(again, _evolved_blocks(again, more, capacity, seed + 1), capacity, True)
     return full.select(columns).unionByName(placed.where("sequence_id is not null").select(columns)).unionByName(last.select(columns))
 
 

@@ -35,6 +35,19 @@ def test_clusters_ties_and_copies(spark, monkeypatch, block):
     assert found(df, 5, 7) == brute(rows, 5, 7)
 
 
+def test_clusters_are_pruned(spark):
+    """Clustered vectors: a query goes to few of the cells, and the result is still exact."""
+    rng = random.Random(5)
+    centres = [[rng.gauss(0, 1) for _ in range(12)] for _ in range(16)]
+    rows = [(i, [float(c + rng.gauss(0, 0.01)) for c in centres[i % 16]]) for i in range(6400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    r = topk.routes(df, 5, 50, "vec_id", "embedding")
+    sent = r.routed.select("uid", "cell").distinct().count()
+    assert r.queries == 128 and len(r.held) == 40
+    assert sent < 0.3 * r.queries * len(r.held)
+    assert found(df.where("vec_id < 1600"), 5, 50) == brute(rows[:1600], 5, 50)
+
+
 def test_odd_vectors(spark):
     rows = [
         (0, [0.5, -0.25]), (1, None), (2, []), (3, [None, 1.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]),

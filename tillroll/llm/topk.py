@@ -2,12 +2,15 @@
 
 Pivots, a bounded deterministic sample of the vectors, split the space into
 cells; each vector belongs to its nearest pivot.  A summary of a cell has its
-number of vectors and its radius r around the pivot p.  For a query q every
-score in the cell lies within  q.p - |q| r  and  q.p + |q| r.  From the lower
-bounds and the numbers (and from the scores of the pivots, which are rows
-themselves) follows a score that the k-th best reaches at least.  A query is
-sent only to cells whose upper bound reaches it; each cell solves its queries
-locally, and the best k of the cells' bests remain.  Nothing is approximate.
+number of vectors, its radius r around the pivot p and the least and the greatest
+length of its vectors.  For a query q every score in the cell lies within
+q.p - |q| r  and  q.p + |q| r, and, as 2 q.x = |q|^2 + |x|^2 - |q - x|^2 and the
+distance |q - x| lies within r of |q - p|, within the bounds that follow from that.
+From the lower bounds and the numbers (and from the scores of the pivots, which are
+rows themselves) follows a score that the k-th best reaches at least.  A query is
+sent only to cells whose upper bound reaches it, and a cell's vectors only to where
+queries ask for them; each cell solves its queries locally, and the best k of the
+cells' bests remain.  Nothing is approximate.
 
 Large cells are cut into blocks of ``BLOCK_ROWS``, so a vector that a third of
 all rows repeat loads no single task; many queries are cut into blocks as well.
@@ -22,6 +25,7 @@ them; a score beyond 64 bits is set to the nearest bound (its rank is exact).
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -70,7 +74,7 @@ def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return whole(q).dot(whole(x).T)
 
 
-def solve(q_uid, q, x_uid, x_id, x, k: int):
+def solve(q_uid, q, x_uid, x, k: int):
     """(query row, candidate row) of each query's best k in this block; x is sorted by identifier."""
     for start in range(0, len(q), 256):
         s = products(q[start : start + 256], x)
@@ -86,9 +90,19 @@ def solve(q_uid, q, x_uid, x_id, x, k: int):
                 yield start + i, j, row[j]
 
 
-def top_k(df: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank int, vec_id, score long: the best k of all rows for each row
-    whose identifier is divisible by ``every``."""
+@dataclass
+class Routes:
+    """``placed``: all vectors with their cells; ``routed``: a row for each query and each
+    cell that it is sent to; ``held``: vectors of each cell; ``queries``: their number; ``width``: of a vector."""
+
+    placed: DataFrame
+    routed: DataFrame
+    held: np.ndarray
+    queries: int
+    width: int
+
+
+def routes(df: DataFrame, k: int, every: int, id_col: str, vector_col: str) -> Routes:
     find_package(df.sparkSession)
     rows = cut(usable(df, id_col, vector_col).withColumn("uid", F.monotonically_increasing_id()))
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("w"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("q")).first()
@@ -107,15 +121,14 @@ def top_k(df: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", ve
             far = np.maximum((x * x).sum(1)[:, None] - 2 * (x @ pivots.T) + (pivots * pivots).sum(1)[None, :], 0)
             cell = far.argmin(1)
             dist = np.sqrt(((x - pivots[cell]) ** 2).sum(1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(dist)], ["vec_id", "v", "uid", "cell", "dist"])
+            arrays = [*batch.columns, pa.array(cell.astype(np.int32)), pa.array(dist), pa.array(np.sqrt((x * x).sum(1)))]
+            yield pa.RecordBatch.from_arrays(arrays, ["vec_id", "v", "uid", "cell", "dist", "norm"])
 
-    placed = cut(map_arrow(rows, assign, "vec_id long, v array<double>, uid long, cell int, dist double"))
+    placed = cut(map_arrow(rows, assign, "vec_id long, v array<double>, uid long, cell int, dist double, norm double"))
     cells = len(pivots)
-    held, radius = np.zeros(cells, dtype=np.int64), np.zeros(cells)
-    for c, m, r in placed.groupBy("cell").agg(F.count(F.lit(1)), F.max("dist")).collect():  # a row for each pivot
-        held[c], radius[c] = m, r * (1 + 1e-9) + 1e-6
-    blocks = [max(1, -(-int(m) // BLOCK_ROWS)) for m in held]
-    query_blocks = max(1, -(-size["q"] // QUERY_BLOCK))
+    held, radius, short, long = np.zeros(cells, dtype=np.int64), np.zeros(cells), np.zeros(cells), np.zeros(cells)
+    for c, m, r, least, most in placed.groupBy("cell").agg(F.count(F.lit(1)), F.max("dist"), F.min("norm"), F.max("norm")).collect():  # a row for each pivot
+        held[c], radius[c], short[c], long[c] = m, r * (1 + 1e-9) + 1e-6, least, most
 
     def route(batches):
         for batch in batches:
@@ -124,9 +137,13 @@ def top_k(df: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", ve
             if not len(q):
                 continue
             near = q @ pivots.T
-            reach = np.sqrt((q * q).sum(1))[:, None] * radius[None, :]
-            slack = 1e-9 * (np.abs(near) + reach) + 1e-6
-            low, high = near - reach - slack, near + reach + slack
+            square = (q * q).sum(1)[:, None]
+            reach = np.sqrt(square) * radius[None, :]
+            away = np.sqrt(np.maximum(square - 2 * near + (pivots * pivots).sum(1)[None, :], 0))
+            low = np.maximum(near - reach, (square + short**2 - (away + radius) ** 2) / 2)
+            high = np.minimum(near + reach, (square + long**2 - np.maximum(away - radius, 0) ** 2) / 2)
+            slack = 1e-9 * (square + (away + radius) ** 2 + long**2 + np.abs(near) + reach) + 1e-6
+            low, high = low - slack, high + slack
             low[:, held == 0], high[:, held == 0] = -np.inf, -np.inf
             order = np.argsort(-low, axis=1)
             there = np.broadcast_to(held, low.shape).copy()
@@ -141,14 +158,21 @@ def top_k(df: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", ve
             taken = batch.take(pa.array(to_query))
             yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), taken.column(2), pa.array(to_cell.astype(np.int32))], ["vec_id", "v", "uid", "cell"])
 
-    many = F.array(*[F.lit(b) for b in blocks])
     routed = map_arrow(placed.where(F.col("vec_id") % every == 0), route, "vec_id long, v array<double>, uid long, cell int")
+    return Routes(placed, routed, held, size["q"], width)
+
+
+def top_k(df: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """query_id, rank int, vec_id, score long: the best k of all rows for each row
+    whose identifier is divisible by ``every``."""
+    r = routes(df, k, every, id_col, vector_col)
+    placed, routed, width = r.placed, r.routed, r.width
+    many = F.array(*[F.lit(max(1, -(-int(m) // BLOCK_ROWS))) for m in r.held])
+    query_blocks = max(1, -(-r.queries // QUERY_BLOCK))
     asked = routed.withColumn("part", F.pmod(F.xxhash64("uid"), F.lit(query_blocks))).withColumn("block", F.explode(F.sequence(F.lit(0), F.element_at(many, F.col("cell") + 1) - 1)))
-    given = (
-        placed.drop("dist")
-        .withColumn("block", F.pmod(F.xxhash64("uid"), F.element_at(many, F.col("cell") + 1)).cast("int"))
-        .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))))
-    )
+    asked = cut(asked)
+    wanted = asked.select(*(F.col(c).alias(c) for c in ("cell", "block", "part"))).distinct()
+    given = placed.drop("dist", "norm").withColumn("block", F.pmod(F.xxhash64("uid"), F.element_at(many, F.col("cell") + 1)).cast("int")).join(wanted, ["cell", "block"])
 
     def local(queries: pa.Table, data: pa.Table) -> pa.Table:
         names = ["query_uid", "query_id", "vec_id", "uid", "score"]
@@ -158,7 +182,7 @@ def top_k(df: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", ve
         data = data.sort_by([("vec_id", "ascending"), ("uid", "ascending")])
         q, x = (matrix(t["v"].combine_chunks() if t["v"].num_chunks != 1 else t["v"].chunk(0), width) for t in (queries, data))
         q_uid, x_uid = queries["uid"].to_numpy(), data["uid"].to_numpy()
-        found = list(solve(q_uid, q, x_uid, None, x, k))
+        found = list(solve(q_uid, q, x_uid, x, k))
         a = np.array([f[0] for f in found], dtype=np.int64)
         b = np.array([f[1] for f in found], dtype=np.int64)
         return pa.table([pa.array(q_uid[a]), queries["vec_id"].take(pa.array(a)), data["vec_id"].take(pa.array(b)), pa.array(x_uid[b]), pa.array([str(int(f[2])) for f in found], pa.string())], names=names)

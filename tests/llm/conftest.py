@@ -28,9 +28,9 @@ def odd(spark, odd_rows):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(odd_rows, "doc_id long, text string, lang string")
-    for name in ("n", "uid", "key", "shard", "slot", "bucket", "score", "rank", "part", "hash", "s1", "record", "a.b"):
+    for name in ("n", "uid", "key", "shard", "slot", "bucket", "score", "rank", "part", "hash", "s1", "record", "a.b", "_first_k", "_first_hash", "_first_row", "_there", "_rank", "_shard", "_slot", "k", "tie", "row", "c0", "first", "bucket", "label", "y"):
         df = df.withColumn(name, F.lit(0))
-    return df
+    return df.withColumn("map", F.create_map(F.lit("a"), F.coalesce("doc_id", F.lit(0)))).withColumn("_first_k", F.concat(F.lit("keep"), F.monotonically_increasing_id().cast("string")))
 
 
 @pytest.fixture(scope="session")

@@ -36,3 +36,15 @@ def test_run(spark):
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert rows.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert rows.count() > 0
+
+
+def test_odd_rows(spark, odd, odd_rows, none):
+    """Every stage stands odd rows, clashing columns and an empty table, and keeps the columns."""
+    for name, stage in corpus_pipeline.STAGES:
+        out, empty = stage(spark, odd, "/root/testdata/sf0.001"), stage(spark, none, "/root/testdata/sf0.001")
+        assert empty.count() == 0
+        if name == "packing":
+            valid(out.collect(), [r[:2] for r in odd_rows], 2048)
+        else:
+            assert out.dtypes == empty.dtypes == odd.dtypes
+            assert {r["_first_k"] for r in out.collect()} <= {r["_first_k"] for r in odd.collect()}

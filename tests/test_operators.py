@@ -61,6 +61,53 @@ def test_parsing(spark):
     assert [tuple(r) for r in rows] == [(12, 1.5, at("2024-01-02 03:04:05"), True), (12, 1.5, at("2024-01-02 03:04:05"), False), (None, None, None, None)]
 
 
+def test_parse_ts_shapes(spark):
+    good = {"2024-01-02T03:04:05.123456": "2024-01-02 03:04:05.123456", "2024-01-02 03:04:05.5": "2024-01-02 03:04:05.5", "2024-01-02": "2024-01-02", "2024-01-02T03:04:05+02:00": "2024-01-02 03:04:05", "2024-01-02 03:04": "2024-01-02 03:04:00"}
+    bad = ["2024-02-30", "2024-01-02 25:00:00", "2024-1-2", "20240102", "x", "", None, "2024-01-02T", "2024-01-02 03:04:05 pm"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*good, *bad])], "i int, t string")
+    got = [r["v"] for r in df.select("i", calendar.parse_ts(F.col("t")).alias("v")).orderBy("i").collect()]
+    assert got == [at(t) for t in good.values()] + [None] * len(bad)
+
+
+def test_sums_below_a_cent_and_huge(spark):
+    rows = [(str(i), 1, 1, 0.004, at("2024-01-01 10:00:00")) for i in range(1000)] + [("x", 2, 1, x, at("2024-01-01 10:00:00")) for x in (1e17, float("inf"), float("nan"), 1e30, None, 0.5)]
+    sums = {r["store_id"]: float(r["tpv"]) for r in aggregates.tpv(spark.createDataFrame(rows, T)).collect()}
+    assert sums == {1: 4.0, 2: 1e17 + 0.5}
+
+
+def test_homes_count_like_joined_rows(spark):
+    rows = [(str(i), None, i % 5 if i % 7 else None, 0.01 * i, at(f"2024-0{i % 9 + 1}-01 10:00:00")) for i in range(200)]
+    facts, homes = spark.createDataFrame(rows, T), spark.createDataFrame([(0, 1), (1, 1), (2, 2), (3, None)], "user_id bigint, store_id bigint")
+    joined = facts.drop("store_id").join(homes, "user_id")
+    for one, other in ((aggregates.tpv(joined), aggregates.tpv_of_homes(facts, homes)), (aggregates.purchases(joined), aggregates.purchases_of_homes(facts, homes))):
+        assert sorted(map(tuple, one.collect())) == sorted(map(tuple, other.select(one.columns).collect()))
+
+
+def test_names_of_users_columns(spark):
+    df = spark.createDataFrame([(1, "a", "b"), (1, "c", "d")], "store_id bigint, _there string, _rank string")
+    stores = spark.createDataFrame([(1, "old", 1), (1, "new", 2)], "store_id bigint, store_name string, since int")
+    assert {r["_there"] for r in lookups.store_names(df, stores).collect()} == {"a", "c"}
+    assert [r["_rank"] for r in ranking.top_k(df, ["store_id"], [F.col("_there")], 1).collect()] == ["b"]
+    assert {r["store_name"] for r in lookups.lookup(df, stores, "store_id", "store_name", newest="since").collect()} == {"new"}
+
+
+def test_stream_goes_on_after_a_failed_batch(spark, landing, tmp_path):
+    rows = files.stream_csv_table(spark, landing, "transactions")
+    failing = [True]
+
+    def finish(sums):
+        if failing:
+            failing.pop()
+            raise ValueError("lost")
+        return ranking.top3_users(sums)
+
+    run = lambda: running.run_available(aggregates.purchases(rows), finish, str(tmp_path / "out"), str(tmp_path / "state"))
+    with pytest.raises(Exception, match="lost"):
+        run()
+    run()
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(1, 4, 1)]
+
+
 def test_custom_round(spark):
     df = spark.createDataFrame([(1.445,), (100.1256,), (2.344,), (2.346,), (12.3,)], "x double")
     assert values(df.select(numbers.custom_round(F.col("x")).alias("y")), "y") == pytest.approx([1.444, 100.1246, 2.34, 2.35, 12.3])

@@ -42,6 +42,15 @@ def _checked(fits: Column, value: Column, text: Column, what: str, strict: bool)
     return out
 
 
+#: A day, or a day and a time, with parts of a second and an offset if need be.
+_ISO = r"^([0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T ][0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:[.][0-9]{1,9})?)?)?)(?:Z|[+-][0-9]{2}:?[0-9]{2})?$"
+
+
 def parse_ts(text: Column) -> Column:
-    """A timestamp without zone from ISO text or from ``yyyy-MM-dd HH:mm:ss``; null if it is neither."""
-    return F.coalesce(F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss")), F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss"))).cast("timestamp_ntz")
+    """A timestamp without zone from ISO text (``T`` or a space before the time); null if it is none.
+
+    A day alone is its first instant; of an offset nothing is kept but the clock
+    time before it; parts of a second below a millionth are cut.
+    """
+    clock = F.regexp_extract(F.trim(text), _ISO, 1)
+    return F.when(clock != "", clock).try_cast("timestamp_ntz")

@@ -25,8 +25,16 @@ def parse_flag(text: Column) -> Column:
 
 
 def exact(amount: Column) -> Column:
-    """Cents as decimals, so that a sum doesn't depend on the order of its rows."""
-    return amount.cast("decimal(18,2)")
+    """Millionths as decimals, so that a sum doesn't depend on the order of its rows.
+
+    What is not finite, or 10^22 and more, counts as null, which sums leave out.
+    """
+    return amount.try_cast("decimal(28,6)")
+
+
+def cents(amount: Column) -> Column:
+    """A decimal of two places; null where ``exact`` is."""
+    return F.round(exact(amount), 2).try_cast("decimal(24,2)")
 
 
 def custom_round(x: Column) -> Column:

@@ -21,7 +21,35 @@ def purchases(transactions: DataFrame) -> DataFrame:
     return transactions.where(F.col("store_id").isNotNull() & F.col("user_id").isNotNull()).groupBy("store_id", "user_id").agg(F.count(F.lit(1)).alias("purchases"))
 
 
-def tpv(transactions: DataFrame) -> DataFrame:
-    """store_id, year_half, tpv (decimal): total payment value."""
-    rows = transactions.where(F.col("store_id").isNotNull())
-    return rows.groupBy(year_half(F.col("created_at")).alias("year_half"), "store_id").agg(F.sum(exact(F.col("final_amount"))).alias("tpv"))
+def tpv(transactions: DataFrame, key: str = "store_id") -> DataFrame:
+    """store_id (or another key), year_half, tpv (decimal): total payment value."""
+    rows = transactions.where(F.col(key).isNotNull())
+    return rows.groupBy(year_half(F.col("created_at")).alias("year_half"), key).agg(F.sum(exact(F.col("final_amount"))).alias("tpv"))
+
+
+def tpv_of_homes(transactions: DataFrame, homes: DataFrame) -> DataFrame:
+    """The same where a transaction's store is that of its user (``homes``: user_id, store_id).
+
+    Users' sums meet the stores, not the transactions; users without a store don't count.
+    """
+    return stores_tpv(tpv(transactions, "user_id"), homes)
+
+
+def stores_tpv(of_users: DataFrame, homes: DataFrame) -> DataFrame:
+    rows = of_users.join(homes, "user_id").where(F.col("store_id").isNotNull())
+    return rows.groupBy("year_half", "store_id").agg(F.sum("tpv").alias("tpv"))
+
+
+def purchases_of_users(transactions: DataFrame) -> DataFrame:
+    """user_id, purchases long."""
+    return transactions.where(F.col("user_id").isNotNull()).groupBy("user_id").agg(F.count(F.lit(1)).alias("purchases"))
+
+
+def purchases_of_homes(transactions: DataFrame, homes: DataFrame) -> DataFrame:
+    """store_id, user_id, purchases long, where a transaction's store is that of its user."""
+    return stores_purchases(purchases_of_users(transactions), homes)
+
+
+def stores_purchases(of_users: DataFrame, homes: DataFrame) -> DataFrame:
+    rows = of_users.join(homes, "user_id").where(F.col("store_id").isNotNull())
+    return rows.groupBy("store_id", "user_id").agg(F.sum("purchases").alias("purchases"))

@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import free_name
+
 
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
     """The first ``k`` rows of each group; Spark also limits the groups before the shuffle."""
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return df.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
+    name = free_name("_rank", df)
+    return df.withColumn(name, rank).where(F.col(name) <= k).drop(name)
 
 
 def argmax(df: DataFrame, by: list[str], value: str, tie: str) -> DataFrame:

@@ -19,10 +19,14 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self._read = lambda name: read_parquet_table(spark, folder, name)
 
+    @property
+    def homes(self) -> DataFrame:
+        """The store of each user; the facts have none."""
+        return self._read("customer").select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").cast("bigint").alias("store_id"))
+
     def _stores_of(self, facts: DataFrame) -> DataFrame:
-        """With the store of each row's user (facts have none)."""
-        customer = self._read("customer").select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").cast("bigint").alias("store_id"))
-        return facts.join(customer, "user_id").select("transaction_id", "store_id", "user_id", "final_amount", "created_at")
+        """Every row with the store of its user, for queries that return rows."""
+        return facts.join(self.homes, "user_id").select("transaction_id", "store_id", "user_id", "final_amount", "created_at")
 
     @property
     def orders(self) -> DataFrame:

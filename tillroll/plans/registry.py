@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import calendar, numbers
 from ..operators import aggregates, filters, lookups, ranking, sets
 from ..sources import files
-from ..sources.schemas import NEEDED
+from ..sources.schemas import TABLES
 from ..streaming import running
 from . import retail
 from .bindings import EVENT_YEARS, ORDER_YEARS, Tables
@@ -38,7 +38,25 @@ def scratch(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="tillroll-")
-    return os.path.join(shared, f"retail-{uuid.uuid4().hex}")
+    path = os.path.join(shared, f"retail-{uuid.uuid4().hex}")
+    _file_system(spark, path).deleteOnExit(_path(spark, path))
+    return path
+
+
+def _path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    return _path(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def name_files(spark: SparkSession, folder: str, name: str) -> None:
+    """Give the files that Spark wrote into ``folder`` names that tell the table."""
+    files_there = _file_system(spark, folder)
+    for i, status in enumerate(files_there.listStatus(_path(spark, folder))):
+        if status.getPath().getName().startswith("part-"):
+            files_there.rename(status.getPath(), _path(spark, f"{folder}/{name}_{i}.csv"))
 
 
 def ym(x: str) -> str:
@@ -73,7 +91,7 @@ def q1_events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _q2_sql(measure: str, out: str, kind: str) -> str:
-    return f"""with a as (select l_partkey as item_id, {ym("l_shipdate")} as ym, sum(cast({measure} as decimal(18,2))) as v from lineitem where {ITEMS_IN} group by 1, 2),
+    return f"""with a as (select l_partkey as item_id, {ym("l_shipdate")} as ym, sum(cast({measure} as decimal(28,6))) as v from lineitem where {ITEMS_IN} group by 1, 2),
     r as (select *, row_number() over (partition by ym order by v desc, item_id asc) as rn from a)
     select ym as year_month_created_at, coalesce(p_name, 'UNKNOWN') as item_name, cast(v as {kind}) as {out} from r left join part on item_id = p_partkey where rn = 1"""
 
@@ -91,7 +109,7 @@ def q2_2_most_profit(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _tpv_sql(source: str, ts: str, amount: str, where: str) -> str:
-    return f"select {yh(ts)} as year_half, cast(c_nationkey as bigint) as store_id, sum(cast({amount} as decimal(18,2))) as v from {source} where {where} and c_nationkey is not null group by 1, 2"
+    return f"select {yh(ts)} as year_half, cast(c_nationkey as bigint) as store_id, sum(cast({amount} as decimal(28,6))) as v from {source} where {where} and c_nationkey is not null group by 1, 2"
 
 
 def _q3_sql(inner: str, value: str = "cast(v as double)") -> str:
@@ -104,19 +122,19 @@ ORDERS_TPV = _tpv_sql(ORDERS, "o_orderdate", "o_totalprice", ORDERS_IN)
 @query(_q3_sql(ORDERS_TPV))
 def q3_tpv(spark: SparkSession, folder: str) -> DataFrame:
     t = Tables(spark, folder)
-    return retail.q3(t.store_orders, t.stores, ORDER_YEARS, hours=False, unique=True)
+    return retail.q3(t.orders, t.stores, ORDER_YEARS, hours=False, unique=True, homes=t.homes)
 
 
 @query(_q3_sql(ORDERS_TPV, "case when substring(split_part(printf('%.4f', cast(v as double)), '.', 2), 3, 1) = '5' then cast(printf('%.4f', cast(v as double)) as double) - 0.001 else round(cast(v as double), 2) end"))
 def q3_tpv_rounded(spark: SparkSession, folder: str) -> DataFrame:
     t = Tables(spark, folder)
-    return retail.q3(t.store_orders, t.stores, ORDER_YEARS, hours=False, rounded=True, unique=True)
+    return retail.q3(t.orders, t.stores, ORDER_YEARS, hours=False, rounded=True, unique=True, homes=t.homes)
 
 
 @query(_q3_sql(_tpv_sql(EVENTS, "ts", "value", f"{EVENTS_IN} and {HOURS}")))
 def q3_tpv_events(spark: SparkSession, folder: str) -> DataFrame:
     t = Tables(spark, folder)
-    return retail.q3(t.store_events, t.stores, EVENT_YEARS, unique=True)
+    return retail.q3(t.events, t.stores, EVENT_YEARS, unique=True, homes=t.homes)
 
 
 def _top3_sql(source: str, user: str, where: str) -> str:
@@ -133,13 +151,13 @@ def _q4_sql(source: str, user: str, where: str) -> str:
 @query(_q4_sql(ORDERS, "o_custkey", ORDERS_IN))
 def q4_top3_users(spark: SparkSession, folder: str) -> DataFrame:
     t = Tables(spark, folder)
-    return retail.q4(t.store_orders, t.stores, t.users, ORDER_YEARS, "user_name", unique=True)
+    return retail.q4(t.orders, t.stores, t.users, ORDER_YEARS, "user_name", unique=True, homes=t.homes)
 
 
 @query(_q4_sql(EVENTS, "user_id", EVENTS_IN))
 def q4_top3_users_events(spark: SparkSession, folder: str) -> DataFrame:
     t = Tables(spark, folder)
-    return retail.q4(t.store_events, t.stores, t.users, EVENT_YEARS, "user_name", unique=True)
+    return retail.q4(t.events, t.stores, t.users, EVENT_YEARS, "user_name", unique=True, homes=t.homes)
 
 
 # Filters.
@@ -193,18 +211,25 @@ def parse_period(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("transaction_id", F.col("h.year").alias("year"), F.col("h.half").alias("half"), F.col("m.month").alias("month"))
 
 
-@query("select event_id as transaction_id, case when event_id % 3 = 2 then null else strftime(ts, '%Y-%m-%d %H:%M:%S') end as created_at from events")
+@query(
+    """select event_id as transaction_id, case event_id % 7 when 2 then null when 3 then strftime(ts, '%Y-%m-%d %H:%M:%S.%f') when 4 then strftime(ts, '%Y-%m-%d 00:00:00.000000') when 6 then strftime(ts, '%Y-%m-%d %H:%M:00.000000')
+    else strftime(ts, '%Y-%m-%d %H:%M:%S.000000') end as created_at from events"""
+)
 def parse_ts(spark: SparkSession, folder: str) -> DataFrame:
-    """ISO text, text with a space, and text that is no time."""
-    ts, kind = F.col("created_at"), F.col("transaction_id") % 3
-    text = F.when(kind == 0, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")).when(kind == 1, F.date_format(ts, "yyyy-MM-dd HH:mm:ss")).otherwise("not a time")
-    return Tables(spark, folder).events.select("transaction_id", F.date_format(calendar.parse_ts(text), "yyyy-MM-dd HH:mm:ss").alias("created_at"))
+    """ISO text, with a space, no time at all, parts of a second, a day alone, an offset, no seconds."""
+    ts, kind = F.col("created_at"), F.col("transaction_id") % 7
+    shapes = ["yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", None, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm:ss'+02:00'", "yyyy-MM-dd HH:mm"]
+    text = F.lit("not a time")
+    for i, shape in enumerate(shapes):
+        if shape:
+            text = F.when(kind == i, F.date_format(ts, shape)).otherwise(text)
+    return Tables(spark, folder).events.select("transaction_id", F.date_format(calendar.parse_ts(text), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("created_at"))
 
 
 @query("select event_id as transaction_id, case when event_id % 4 = 3 then null else cast(cast(value as decimal(18,2)) as double) end as amount from events")
 def parse_decimal_comma(spark: SparkSession, folder: str) -> DataFrame:
     """Amounts with a comma, a point, or neither."""
-    cents, kind = numbers.exact(F.col("final_amount")).cast("string"), F.col("transaction_id") % 4
+    cents, kind = numbers.cents(F.col("final_amount")).cast("string"), F.col("transaction_id") % 4
     text = F.when(kind == 3, "x,y").when(kind == 0, cents).otherwise(F.replace(cents, F.lit("."), F.lit(",")))
     return Tables(spark, folder).events.select("transaction_id", numbers.parse_decimal_comma(text).alias("amount"))
 
@@ -241,7 +266,7 @@ def project_users(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    f"select l_partkey as item_id, {ym('l_shipdate')} as year_month, cast(sum(cast(l_quantity as decimal(18,2))) as bigint) as quantity, cast(sum(cast(l_extendedprice as decimal(18,2))) as double) as subtotal from lineitem group by 1, 2"
+    f"select l_partkey as item_id, {ym('l_shipdate')} as year_month, cast(sum(cast(l_quantity as decimal(28,6))) as bigint) as quantity, cast(sum(cast(l_extendedprice as decimal(28,6))) as double) as subtotal from lineitem group by 1, 2"
 )
 def agg_products(spark: SparkSession, folder: str) -> DataFrame:
     sums = aggregates.products(Tables(spark, folder).items)
@@ -250,19 +275,32 @@ def agg_products(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"select cast(c_nationkey as bigint) as store_id, o_custkey as user_id, count(*) as purchases from {ORDERS} group by 1, 2")
 def agg_purchases(spark: SparkSession, folder: str) -> DataFrame:
-    return aggregates.purchases(Tables(spark, folder).store_orders)
+    t = Tables(spark, folder)
+    return aggregates.purchases_of_homes(t.orders, t.homes)
 
 
 @query(f"select year_half, store_id, cast(v as double) as tpv from ({_tpv_sql(ORDERS, 'o_orderdate', 'o_totalprice', 'true')})")
 def agg_tpv(spark: SparkSession, folder: str) -> DataFrame:
-    return aggregates.tpv(Tables(spark, folder).store_orders).withColumn("tpv", F.col("tpv").cast("double"))
+    t = Tables(spark, folder)
+    return aggregates.tpv_of_homes(t.orders, t.homes).withColumn("tpv", F.col("tpv").cast("double"))
+
+
+@query(
+    f"select {yh('ts')} as year_half, user_id, cast(sum(case event_id % 1000 when 1 then cast(100000000000000000 as decimal(28,6)) when 2 then null else cast(value / 1000 as decimal(28,6)) end) as varchar) as tpv from events where user_id is not null group by 1, 2"
+)
+def agg_tpv_subcent(spark: SparkSession, folder: str) -> DataFrame:
+    """Users' sums of amounts below a cent, some huge, some not finite."""
+    kind = F.col("transaction_id") % 1000
+    amount = F.when(kind == 1, F.lit(1e17)).when(kind == 2, F.lit(float("inf"))).otherwise(F.col("final_amount") / 1000)
+    rows = Tables(spark, folder).events.withColumn("final_amount", amount)
+    return aggregates.tpv(rows, "user_id").withColumn("tpv", F.col("tpv").cast("string"))
 
 
 # Ranking.
 
 
 def _argmax_sql(measure: str, out: str, kind: str) -> str:
-    return f"""with a as (select l_partkey as item_id, {ym("l_shipdate")} as year_month, sum(cast({measure} as decimal(18,2))) as v from lineitem group by 1, 2)
+    return f"""with a as (select l_partkey as item_id, {ym("l_shipdate")} as year_month, sum(cast({measure} as decimal(28,6))) as v from lineitem group by 1, 2)
     select item_id, year_month, cast(v as {kind}) as {out} from a qualify row_number() over (partition by year_month order by v desc, item_id) = 1"""
 
 
@@ -280,7 +318,8 @@ def argmax_profit(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"with {_top3_sql(ORDERS, 'o_custkey', 'true')} select store_id, user_id, purchases from r where rn <= 3")
 def top3(spark: SparkSession, folder: str) -> DataFrame:
-    return ranking.top3_users(aggregates.purchases(Tables(spark, folder).store_orders))
+    t = Tables(spark, folder)
+    return ranking.top3_users(aggregates.purchases_of_homes(t.orders, t.homes))
 
 
 # Lookups, with dimensions that lack some keys and names.
@@ -296,7 +335,7 @@ def join_items(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"select year_half, store_id, cast(v as double) as tpv, case when store_id % 3 = 2 then n_name else 'UNKNOWN' end as store_name from ({ORDERS_TPV}) join nation on store_id = n_nationkey")
 def join_stores_tpv(spark: SparkSession, folder: str) -> DataFrame:
     t = Tables(spark, folder)
-    sums = aggregates.tpv(retail.in_years(t.store_orders, ORDER_YEARS)).withColumn("tpv", F.col("tpv").cast("double"))
+    sums = aggregates.tpv_of_homes(retail.in_years(t.orders, ORDER_YEARS), t.homes).withColumn("tpv", F.col("tpv").cast("double"))
     return lookups.store_names(sums, _some_stores(t)).select("year_half", "store_id", "tpv", "store_name")
 
 
@@ -308,14 +347,14 @@ def _some_stores(t: Tables) -> DataFrame:
 @query(f"with {_top3_sql(ORDERS, 'o_custkey', 'true')} select store_id, user_id, case when store_id % 3 = 2 then n_name else concat('NO_JOINER_DATA_', cast(store_id as string)) end as store_name from r join nation on store_id = n_nationkey where rn <= 3")
 def join_stores_top3(spark: SparkSession, folder: str) -> DataFrame:
     t = Tables(spark, folder)
-    best = ranking.top3_users(aggregates.purchases(t.store_orders))
+    best = ranking.top3_users(aggregates.purchases_of_homes(t.orders, t.homes))
     return lookups.store_names_or_id(best, _some_stores(t)).select("store_id", "user_id", "store_name")
 
 
 @query(f"with {_top3_sql(ORDERS, 'o_custkey', 'true')} select store_id, user_id, case when user_id % 2 = 1 then c_name end as user_name from r join customer on user_id = c_custkey where rn <= 3")
 def join_users(spark: SparkSession, folder: str) -> DataFrame:
     t = Tables(spark, folder)
-    best = ranking.top3_users(aggregates.purchases(t.store_orders))
+    best = ranking.top3_users(aggregates.purchases_of_homes(t.orders, t.homes))
     return lookups.birthdates(best, t.users.where(F.col("user_id") % 2 == 1), "user_name").select("store_id", "user_id", "user_name")
 
 
@@ -350,7 +389,7 @@ def scan_stats(spark: SparkSession, folder: str) -> DataFrame:
     return out
 
 
-def _coffee_events(spark: SparkSession, folder: str) -> DataFrame:
+def _transaction_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Events as lines of the transactions file."""
     e, none = Tables(spark, folder).store_events, F.lit(None).cast("string")
     return e.select(
@@ -367,10 +406,12 @@ SCAN_SQL = "select cast(event_id as varchar) as transaction_id, cast(c_nationkey
 def scan_csv(spark: SparkSession, folder: str) -> DataFrame:
     """Written as CSV in the shape of the transactions file (ids like ``12.0``, empty fields), and read by the scan."""
     path = scratch(spark)
-    _coffee_events(spark, folder).write.options(header="true").csv(f"{path}/transactions_1")
-    # The scan looks at file names, so the folder is read file by file.
-    lines = spark.read.schema(files.text_schema("transactions")).options(header="true", enforceSchema="true", quote="", recursiveFileLookup="true").csv(path)
-    return files.typed(lines, "transactions").select(NEEDED["transactions"])
+    _transaction_lines(spark, folder).write.options(header="true").csv(f"{path}/2024")
+    name_files(spark, f"{path}/2024", "Transactions")
+    # A table that the scan has to leave alone.
+    Tables(spark, folder).stores.select(*(F.col("store_name").alias(c) for c, _ in TABLES["stores"])).write.options(header="true").csv(f"{path}/dims")
+    name_files(spark, f"{path}/dims", "stores")
+    return files.project(files.read_csv_table(spark, path, "transactions"), "transactions")
 
 
 @query(_q3_sql(ORDERS_TPV))
@@ -387,12 +428,52 @@ def sink_csv(spark: SparkSession, folder: str) -> DataFrame:
 @query(_argmax_sql("l_quantity", "quantity", "bigint"))
 def stream_argmax_qty(spark: SparkSession, folder: str) -> DataFrame:
     """Products' sums over a stream of line items, ranked at the end of each batch."""
-    source = f"{folder}/lineitem.parquet"
-    schema = spark.read.parquet(source).schema
-    # As a pattern, the path can be a file as well as a folder.
-    rows = spark.readStream.schema(schema).parquet(source[:-1] + "[t]")
+    rows = _stream(spark, folder, "lineitem")
     items = rows.select(F.col("l_partkey").alias("item_id"), F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("subtotal"), F.col("l_shipdate").alias("created_at"))
     path = scratch(spark)
     best = lambda sums: ranking.argmax(sums, ["year_month"], "quantity", "item_id").select("item_id", "year_month", F.col("quantity").cast("bigint").alias("quantity"))
     running.run_available(aggregates.products(items), best, f"{path}/best", f"{path}/checkpoint")
     return spark.read.parquet(f"{path}/best")
+
+
+def _stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table as a stream; as a pattern, its path can be a file as well as a folder."""
+    source = f"{folder}/{name}.parquet"
+    return spark.readStream.schema(spark.read.parquet(source).schema).parquet(source[:-1] + "[t]")
+
+
+def _order_stream(spark: SparkSession, folder: str) -> DataFrame:
+    o = _stream(spark, folder, "orders")
+    return o.select(F.col("o_orderkey").alias("transaction_id"), F.col("o_custkey").alias("user_id"), F.col("o_totalprice").alias("final_amount"), F.col("o_orderdate").alias("created_at"))
+
+
+@query(_q3_sql(ORDERS_TPV))
+def stream_tpv(spark: SparkSession, folder: str) -> DataFrame:
+    """The third question over a stream of orders: users' sums are the state."""
+    t, path = Tables(spark, folder), scratch(spark)
+
+    def finish(sums: DataFrame) -> DataFrame:
+        named = lookups.store_names(aggregates.stores_tpv(sums, t.homes), t.stores, True)
+        return named.select(F.col("year_half").alias("year_half_created_at"), "store_name", F.col("tpv").cast("double").alias("tpv"))
+
+    running.run_available(aggregates.tpv(retail.in_years(_order_stream(spark, folder), ORDER_YEARS), "user_id"), finish, f"{path}/tpv", f"{path}/checkpoint")
+    return spark.read.parquet(f"{path}/tpv")
+
+
+@query(f"with {_top3_sql(ORDERS, 'o_custkey', 'true')} select store_id, user_id, purchases from r where rn <= 3")
+def stream_top3(spark: SparkSession, folder: str) -> DataFrame:
+    """The ranking of the fourth question over a stream of orders."""
+    t, path = Tables(spark, folder), scratch(spark)
+    running.run_available(aggregates.purchases_of_users(_order_stream(spark, folder)), lambda counts: ranking.top3_users(aggregates.stores_purchases(counts, t.homes)), f"{path}/top3", f"{path}/checkpoint")
+    return spark.read.parquet(f"{path}/top3")
+
+
+@query(_q1_sql(f"{EVENTS_IN} and {HOURS} and value >= 75"))
+def stream_distinct(spark: SparkSession, folder: str) -> DataFrame:
+    """The first question over a stream in which every event comes twice."""
+    e, path = _stream(spark, folder, "events"), scratch(spark)
+    rows = e.select(F.col("event_id").alias("transaction_id"), F.col("value").alias("final_amount"), F.col("ts").alias("created_at")).withColumn("created_at", F.explode(F.array("created_at", "created_at")))
+    kept = retail.in_hours(retail.in_years(rows, EVENT_YEARS), EVENT_YEARS)
+    once = running.drop_repeats(filters.by_amount(kept, "final_amount", EVENT_YEARS.min_amount).withColumn("at", F.col("created_at").cast("timestamp")), "transaction_id", "at", "1 hour")
+    running.append_available(once.select("transaction_id", "final_amount"), f"{path}/once", f"{path}/checkpoint")
+    return spark.read.parquet(f"{path}/once")

@@ -39,17 +39,19 @@ def q2_2(items: DataFrame, menu: DataFrame, p: Params, unique: bool = False) ->
     return lookups.item_names(best, menu, unique).select(F.col("year_month").alias("year_month_created_at"), "item_name", F.col("subtotal").cast("double").alias("profit_sum"))
 
 
-def q3(transactions: DataFrame, stores: DataFrame, p: Params, hours: bool = True, rounded: bool = False, unique: bool = False) -> DataFrame:
-    """Total payment value of each half-year and store."""
+def q3(transactions: DataFrame, stores: DataFrame, p: Params, hours: bool = True, rounded: bool = False, unique: bool = False, homes: DataFrame | None = None) -> DataFrame:
+    """Total payment value of each half-year and store.  ``homes``: the stores of users, for transactions without a store."""
     rows = in_years(transactions, p)
-    sums = aggregates.tpv(in_hours(rows, p) if hours else rows)
+    rows = in_hours(rows, p) if hours else rows
+    sums = aggregates.tpv(rows) if homes is None else aggregates.tpv_of_homes(rows, homes)
     value = F.col("tpv").cast("double")
     return lookups.store_names(sums, stores, unique).select(F.col("year_half").alias("year_half_created_at"), "store_name", (custom_round(value) if rounded else value).alias("tpv"))
 
 
-def q4(transactions: DataFrame, stores: DataFrame, users: DataFrame, p: Params, value: str = "birthdate", unique: bool = False) -> DataFrame:
-    """Of each store the users with most transactions."""
-    counts = aggregates.purchases(in_years(transactions, p))
+def q4(transactions: DataFrame, stores: DataFrame, users: DataFrame, p: Params, value: str = "birthdate", unique: bool = False, homes: DataFrame | None = None) -> DataFrame:
+    """Of each store the users with most transactions.  ``homes``: as in :func:`q3`."""
+    rows = in_years(transactions, p)
+    counts = aggregates.purchases(rows) if homes is None else aggregates.purchases_of_homes(rows, homes)
     best = ranking.top_k(counts, ["store_id"], [F.col("purchases").desc(), F.col("user_id").desc()], p.top)
     named = lookups.birthdates(lookups.store_names_or_id(best, stores, unique), users, value, unique)
     return named.select("store_name", value)

@@ -23,6 +23,11 @@ def run_available(sums: DataFrame, finish: Callable[[DataFrame], DataFrame], tar
     query.awaitTermination()
 
 
+def append_available(rows: DataFrame, target: str, checkpoint: str) -> None:
+    """Read what there is and append the rows to ``target``, each batch exactly once."""
+    rows.writeStream.outputMode("append").format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def drop_repeats(stream: DataFrame, key: str, ts: str, delay: str) -> DataFrame:
     """Each key once, as long as its repetitions come within ``delay``; the state is bounded by it."""
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])

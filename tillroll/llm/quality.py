@@ -98,27 +98,29 @@ class Bags:
         at, runs = _ranges(self.runs[:-1][rows], np.diff(self.runs)[rows])
         entries, index = np.unique(self.index[at], return_inverse=True)
         of, gram_at = _ranges(self.gram_at[:-1][entries], np.diff(self.gram_at)[entries])
-        return Bags(self.x[rows], index, runs, first, self.gram[of], gram_at)
+        return Bags(self.x[rows], index, runs, first, self.gram[of].astype(np.intp), gram_at)
 
     def means(self, table: np.ndarray) -> np.ndarray:
-        """The vector of each passage."""
+        """The vector of each passage, one coordinate after the other."""
         sizes = np.diff(self.gram_at)
-        entries = np.zeros((len(sizes), table.shape[1]), dtype=np.float32)
         full = np.flatnonzero(sizes)
-        if len(full):
-            entries[full] = np.add.reduceat(table[self.gram], self.gram_at[:-1][full]) / sizes[full, None]
-        return np.add.reduceat(entries[self.index], self.runs[:-1]) / np.diff(self.runs)[:, None]
+        begin, held, words = self.gram_at[:-1][full], sizes[full], np.diff(self.runs)
+        out = np.empty((len(self.x), table.shape[1]))
+        for k, column in enumerate(np.ascontiguousarray(table.T)):
+            entries = np.zeros(len(sizes), dtype=column.dtype)
+            if len(full):
+                entries[full] = np.add.reduceat(column.take(self.gram), begin) / held
+            out[:, k] = np.add.reduceat(entries.take(self.index), self.runs[:-1]) / words
+        return out
 
     def spread(self, of_passage: np.ndarray, buckets: int) -> np.ndarray:
         """The gradient of the n-grams' vectors from that of the passages' vectors."""
-        which = np.repeat(np.arange(len(self.x)), np.diff(self.runs))
-        share = of_passage / np.diff(self.runs)[:, None]
-        sizes = np.diff(self.gram_at)
-        entry = np.repeat(np.arange(len(sizes)), sizes)
+        words, sizes = np.diff(self.runs), np.diff(self.gram_at)
+        held = np.maximum(sizes, 1)
         out = np.empty((buckets, of_passage.shape[1]))
         for k in range(out.shape[1]):
-            of_entry = np.bincount(self.index, weights=share[which, k], minlength=len(sizes)) / np.maximum(sizes, 1)
-            out[:, k] = np.bincount(self.gram, weights=of_entry[entry], minlength=buckets)
+            of_entry = np.bincount(self.index, weights=np.repeat(of_passage[:, k] / words, words), minlength=len(sizes)) / held
+            out[:, k] = np.bincount(self.gram, weights=np.repeat(of_entry, sizes), minlength=buckets)
         return out
 
 

@@ -12,7 +12,7 @@ gives the score:
     score = sigmoid(sum(a h) . c + d)
 
 Everything is trained jointly, the n-grams' vectors too, by Adam on a bounded
-sample of labelled rows.
+sample of labelled rows, until the steps are done or the loss is.
 
 Defined cases: a null or empty text has one passage with the empty word; with
 labels of one class only (or none) there is nothing to learn and every score is
@@ -40,6 +40,8 @@ CODE, GATE = 16, 8
 BUCKETS, WIDTH = 1 << 14, 8
 #: Passes over the sample at least, and steps at least.
 EPOCHS, STEPS, BATCH, RATE = 12, 300, 256, 0.01
+#: An epoch with a smaller mean loss is the last: there is next to no gradient left.
+DONE = 0.002
 SEED = 9
 THRESHOLD = 0.5
 #: Signs counted one by one; fixed values.
@@ -188,9 +190,9 @@ class Model:
         return self.forward(passages(split(column)))["p"].astype(np.float64)
 
 
-def gradients(model: Model, bags: Bags, y: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+def gradients(model: Model, bags: Bags, y: np.ndarray, weight: np.ndarray, f: dict[str, np.ndarray] | None = None) -> list[np.ndarray]:
     table, e, w, b, v, u, g, c, d = model.params
-    f, first = model.forward(bags), bags.first
+    f, first = f or model.forward(bags), bags.first
     h, t, s, a, which = f["h"], f["t"], f["s"], f["a"], f["which"]
     dl = (f["p"] - y) * weight / len(y)
     dz = dl[:, None] * c[None, :]
@@ -218,16 +220,22 @@ def train(texts: list[str], labels: list[int], weights: list[float] | None = Non
     step, epochs = 0, max(epochs, -(-STEPS // -(-len(y) // BATCH)))
     for epoch in range(epochs):
         order = rng.permutation(len(y))
-        rate = RATE * (1 - epoch / epochs) + RATE / 20
+        rate, loss = RATE * (1 - epoch / epochs) + RATE / 20, 0.0
         for at in range(0, len(order), BATCH):
             step += 1
             docs = np.sort(order[at : at + BATCH])
-            for p, grad, (m1, m2) in zip(params, gradients(model, bags.take(docs), y[docs], weight[docs]), state, strict=True):
+            part = bags.take(docs)
+            f = model.forward(part)
+            right = np.where(y[docs] == 1, f["p"], 1 - f["p"])
+            loss -= (weight[docs] * np.log(right)).sum()
+            for p, grad, (m1, m2) in zip(params, gradients(model, part, y[docs], weight[docs], f), state, strict=True):
                 m1 *= 0.9
                 m1 += 0.1 * grad
                 m2 *= 0.99
                 m2 += 0.01 * grad * grad
                 p -= rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8) + rate * 1e-4 * p
+        if loss < DONE * weight.sum():
+            break
     params[0] = table.astype(np.float32)
     return model
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -87,7 +88,7 @@ def chunks(batches: Iterator[pa.RecordBatch], rows: int = CHUNK_ROWS) -> Iterato
             yield batch.slice(start, rows)
 
 
-def size_chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def size_chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of about ``most`` bytes of the text in ``column``; one row at least."""
     for batch in batches:
         if not batch.num_rows:
@@ -121,10 +122,23 @@ def find_package(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
 
 
+def release() -> None:
+    """Give freed memory back to the system; reused workers and the driver would hold on to it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, function: Callable, schema: StructType | str) -> DataFrame:
-    """``df.mapInArrow``, with this package importable in the workers."""
+    """``df.mapInArrow``, with this package importable in the workers, which keep no freed memory."""
     find_package(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def run(batches):
+        yield from function(batches)
+        release()
+
+    return df.mapInArrow(run, schema)
 
 
 def row_hash(df: DataFrame) -> Column:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sample
-from .common import map_arrow, size_chunks, text_column
+from .common import map_arrow, release, size_chunks, text_column
 from .toxicity import entry_chunks, grams
 from .words import Words, spans, split
 
@@ -242,7 +242,9 @@ def train(texts: list[str], labels: list[int], weights: list[float] | None = Non
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = sample.ROWS_OF_CLASS) -> Model:
     """Learn from rows whose crc32(doc_id) mod 3 isn't 1, ``rows`` of each class at most."""
-    return train(*sample.labelled(docs, labels, "quality", sample.remainder(F.col("doc_id"), 3) != 1, rows))
+    model = train(*sample.labelled(docs, labels, "quality", sample.remainder(F.col("doc_id"), 3) != 1, rows))
+    release()
+    return model
 
 
 def score_documents(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

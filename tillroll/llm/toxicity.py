@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import sample
-from .common import map_arrow, size_chunks, text_column
+from .common import map_arrow, release, size_chunks, text_column
 from .words import Words, spans, split
 
 BUCKETS = 1 << 16
@@ -180,7 +180,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = sample.ROWS_OF_CLASS) ->
     """Learn from rows whose crc32(doc_id) mod 4 isn't 2, ``rows`` of each class at most."""
     from pyspark.sql import functions as F
 
-    return train(*sample.labelled(docs, labels, "toxic", sample.remainder(F.col("doc_id"), 4) != 2, rows))
+    model = train(*sample.labelled(docs, labels, "toxic", sample.remainder(F.col("doc_id"), 4) != 2, rows))
+    release()
+    return model
 
 
 def score_documents(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,0 +1,141 @@
+"""Alignment of two tokenizers against plain loops over the libraries' own tokens."""
+
+import hashlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tillroll.llm import alignment, queries
+
+
+def a_tokens(texts):
+    from tillroll.llm.bpe import byte_letters
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    library.encode_special_tokens = True
+    letters = byte_letters()
+    return [[(i, bytes(letters[c] for c in library.id_to_token(i))) for i in library.encode(" " + t, add_special_tokens=False).ids] for t in texts]
+
+
+def b_tokens(texts):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    piece = lambda i: bytes([int(model.id_to_piece(i)[3:5], 16)]) if model.is_byte(i) else model.id_to_piece(i).replace("▁", " ").encode()
+    return [[(i, piece(i)) for i in model.encode(t)] for t in texts]
+
+
+def brute_force(texts):
+    """(n_a, n_b, n_groups, n_links, n_best, count_sum, sha) of each text."""
+    rows, held = [], Counter()
+    for text, a, b in zip(texts, a_tokens([t or "" for t in texts]), b_tokens([t or "" for t in texts]), strict=True):
+        want = (" " + (text or "")).encode()
+        if not text or b"".join(x for _, x in a) != want or b"".join(x for _, x in b) != want:
+            rows.append(None)
+            continue
+        spans = []
+        for tokens in (a, b):
+            at, out = 0, []
+            for i, data in tokens:
+                out.append((i, at, at + len(data)))
+                at += len(data)
+            spans.append(out)
+        links = [(i, j) for i, s, e in spans[0] for j, s2, e2 in spans[1] if s < e2 and s2 < e]
+        both = sorted({e for _, _, e in spans[0]} & {e for _, _, e in spans[1]})
+        groups, start = [], 0
+        for end in both:
+            groups.append("|".join(",".join(str(i) for i, s, e in side if start < e <= end) for side in spans))
+            start = end
+        rows.append((len(a), len(b), len(groups), links, ";".join(groups)))
+        held.update(set(links))
+    most = defaultdict(int)
+    for (i, _), n in held.items():
+        most[i] = max(most[i], n)
+    for row in rows:
+        if row is None:
+            yield (0, 0, 0, 0, 0, 0, "")
+        else:
+            n_a, n_b, n_groups, links, groups = row
+            yield (n_a, n_b, n_groups, len(links), sum(held[x] == most[x[0]] for x in links), sum(held[x] for x in links), hashlib.sha256(groups.encode()).hexdigest())
+
+
+COLUMNS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+TEXTS = ["the cat", "the  cat sat", None, "", " ", "naïve café 日本語 😀", "a▁b", "<s> </s> <|endoftext|> <0x41>", "\n\n\t x", "the cat", "x" * 300, "1234567 + 89", "é    ", "don't won't", "\x00\x01"]
+
+
+def test_texts_by_loops(spark):
+    rows = list(enumerate(TEXTS))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: tuple(r[c] for c in COLUMNS) for r in alignment.link_statistics(df).collect()}
+    assert [got[i] for i, _ in rows] == list(brute_force(TEXTS))
+    assert got[6] == (0, 0, 0, 0, 0, 0, "")
+
+
+def test_documents_by_loops(spark, small, monkeypatch):
+    """Short documents of the table, in several batches whose dictionaries are added up."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").where("length(text) < 1500").cache()
+    rows = docs.select("doc_id", "text").collect()
+    monkeypatch.setattr(alignment, "BATCH_BYTES", 3000)
+    got = {r["doc_id"]: tuple(r[c] for c in COLUMNS) for r in alignment.link_statistics(docs.repartition(3)).collect()}
+    assert len(got) == len(rows) > 50
+    assert [got[r["doc_id"]] for r in rows] == list(brute_force([r["text"] for r in rows]))
+
+
+def test_query_over_all(spark, small):
+    df = queries.op11_alignment(spark, small)
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rows = df.collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(r["doc_id"] for r in docs.collect())
+    assert df.columns == ["doc_id", *COLUMNS]
+    assert all(r["n_links"] <= r["n_a"] + r["n_b"] and r["n_groups"] <= r["n_links"] <= r["count_sum"] and r["n_best"] <= r["n_links"] for r in rows)
+
+
+def test_groups_are_given(spark):
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    for row in alignment.align(df).collect():
+        text, a, b, a_ends, b_ends = TEXTS[row["doc_id"]], row["a_ids"], row["b_ids"], row["a_ends"], row["b_ends"]
+        if not a:
+            assert not b and not a_ends and not b_ends and (not text or "▁" in text)
+            continue
+        joined = [dict(x) for x in (a_tokens([text])[0], b_tokens([text])[0])]
+        assert a_ends[-1] == len(a) and b_ends[-1] == len(b) and len(a_ends) == len(b_ends)
+        for g in range(len(a_ends)):
+            parts = [ids[ends[g - 1] if g else 0 : ends[g]] for ids, ends in ((a, a_ends), (b, b_ends))]
+            assert b"".join(joined[0][i] for i in parts[0]) == b"".join(joined[1][i] for i in parts[1]) != b""
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_marks_by_loops(seed):
+    """Random tokens of random lengths over several documents, some of them empty."""
+    rng = np.random.default_rng(seed)
+    lengths = np.arange(1, 8)
+    a, b = [], []
+    for size in rng.integers(0, 40, 6) * (rng.random(6) < 0.8):
+        for out in (a, b):
+            left, ids = int(size), []
+            while left:
+                ids.append(int(rng.integers(0, min(left, 7))))
+                left -= ids[-1] + 1
+            out.append(np.array(ids, dtype=np.int64))
+    x = alignment.align_tokens(a, b, lengths, lengths)
+    links, groups = [], []
+    for d, (ours, theirs) in enumerate(zip(a, b, strict=True)):
+        ends = [np.cumsum(lengths[t]).tolist() for t in (ours, theirs)]
+        links += [(d, i, j) for i in range(len(ours)) for j in range(len(theirs)) if max(ends[0][i] - lengths[ours[i]], ends[1][j] - lengths[theirs[j]]) < min(ends[0][i], ends[1][j])]
+        groups.append(len(set(ends[0]) & set(ends[1])))
+    doc = np.repeat(np.arange(len(a)), np.diff(x.links_of))
+    assert list(zip(doc.tolist(), (x.link_a - x.a_of[doc]).tolist(), (x.link_b - x.b_of[doc]).tolist(), strict=True)) == links
+    assert np.diff(x.groups_of).tolist() == groups
+
+
+def test_odd_rows(spark, odd, none, odd_rows):
+    rows = alignment.link_statistics(odd).collect()
+    assert sorted(str(r["doc_id"]) for r in rows) == sorted(str(i) for i, _, _ in odd_rows)
+    same = {tuple(r[c] for c in COLUMNS) for r in rows if r["doc_id"] in (1, 5)}
+    assert len(same) == 1
+    long = next(r for r in rows if r["doc_id"] == 6)
+    assert long["n_links"] > 30_000
+    assert alignment.link_statistics(none).count() == 0
+    assert alignment.align(none).count() == 0

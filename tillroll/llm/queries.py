@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, html_text, minhash, packing, quality, sample, sharding, token_counts, topk, toxicity
+from . import alignment, bpe, chat, fingerprints, html_text, minhash, packing, quality, sample, sharding, token_counts, topk, toxicity
 from .common import table
 
 SHARDS = 24
@@ -110,12 +110,17 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of every document by two tokenizers, aligned."""
+    return alignment.link_statistics(table(spark, sf_dir, "documents"))
+
+
 def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     texts = html_text.extract(table(spark, sf_dir, "pages"), keep=("url",))
     return texts.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_packing, op3_token_counts, op4_toxicity, op5_fingerprints, op6_topk, op7_bpe, op8_minhash, op9_quality, op10_chat, op12_html_text)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_packing, op3_token_counts, op4_toxicity, op5_fingerprints, op6_topk, op7_bpe, op8_minhash, op9_quality, op10_chat, op11_alignment, op12_html_text)}
 
 SQL: dict[str, str] = {"op6_topk": OP6_SQL, "op8_minhash": OP8_SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, chat, fingerprints, html_text, minhash, packing, quality, sample, sharding, token_counts, topk, toxicity
+from . import alignment, bpe, changes, chat, fingerprints, html_text, minhash, packing, quality, sample, sharding, token_counts, topk, toxicity
 from .common import table
 
 SHARDS = 24
@@ -121,6 +121,29 @@ def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_packing, op3_token_counts, op4_toxicity, op5_fingerprints, op6_topk, op7_bpe, op8_minhash, op9_quality, op10_chat, op11_alignment, op12_html_text)}
+CHANGE_BATCHES = 10
+
+
+def op13_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All client changes in ten batches by day; the digests come from the applier's rows."""
+    rows = changes.with_numbers(table(spark, sf_dir, "client_changes").distinct(), "client_id", "seq")
+    h = F.crc32(F.coalesce(F.col("change_id").cast("string"), F.lit("")).cast("binary"))
+    day = F.unix_date(F.col("valid_at").cast("date")) + (5 * (h % 4)).cast("int")
+    kept = rows.where(F.col("valid_at").isNotNull() & (h % 11 != 0)).withColumn("day", day)
+    number = F.greatest(F.lit(1), F.least(F.lit(CHANGE_BATCHES), 1 + F.floor((F.col("day") - 19723) * CHANGE_BATCHES / 160)))
+    applied = changes.apply_changes(kept.withColumn("batch", number.cast("int")), CHANGE_BATCHES)
+    return changes.latest_applied(applied).select(
+        F.col("id").alias("change_id"),
+        F.when(~F.col("no_client"), F.col("client")).alias("client_id"),
+        "status",
+        "batch",
+        "missed",
+        "city",
+        F.floor(100 * F.col("balance") + 0.5).alias("cents"),
+        "current",
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_packing, op3_token_counts, op4_toxicity, op5_fingerprints, op6_topk, op7_bpe, op8_minhash, op9_quality, op10_chat, op11_alignment, op12_html_text, op13_changes)}
 
 SQL: dict[str, str] = {"op6_topk": OP6_SQL, "op8_minhash": OP8_SQL}

@@ -40,7 +40,7 @@ from .common import cut, find_package, map_arrow, size_chunks, text_column, voca
 
 PIECES = "piece_bpe_32k.model"
 #: Bytes of text that are aligned at once.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 3 << 19
 #: Ids of both vocabularies are below this.
 IDS = 1 << 24
 
@@ -99,29 +99,28 @@ def bounds(sizes) -> np.ndarray:
 def align_tokens(a: list[np.ndarray], b: list[np.ndarray], a_lengths: np.ndarray, b_lengths: np.ndarray) -> Aligned:
     """The alignment of documents' tokens; a document's have the same bytes in ``a`` and ``b``."""
     a_of, b_of = bounds([len(x) for x in a]), bounds([len(x) for x in b])
-    a, b = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (a, b))
+    a, b = (np.concatenate([np.zeros(0, np.int32), *x]).astype(np.int32) for x in (a, b))
     a_ends, b_ends = np.cumsum(a_lengths[a]), np.cumsum(b_lengths[b])
     size = int(a_ends[-1]) + 1 if len(a) else 1
-    in_a, in_b = np.bincount(a_ends, minlength=size), np.bincount(b_ends, minlength=size)
+    in_a, in_b = (np.bincount(ends, minlength=size).astype(bool) for ends in (a_ends, b_ends))
     both, any_ = in_a & in_b, in_a | in_b
-    groups, links = np.cumsum(both), np.cumsum(any_)
+    groups, links = np.cumsum(both, dtype=np.int32), np.cumsum(any_, dtype=np.int32)  # a batch has fewer bytes than that
     ends = np.concatenate([[0], a_ends])[a_of]  # of documents
     at = np.flatnonzero(any_)
-    return Aligned(
-        a, b, a_of, b_of, groups[ends], links[ends], groups[a_ends] - both[a_ends], groups[b_ends] - both[b_ends],
-        np.cumsum(in_a)[at] - in_a[at], np.cumsum(in_b)[at] - in_b[at],
-    )
+    before = lambda marks: np.cumsum(marks, dtype=np.int32)[at] - marks[at]
+    return Aligned(a, b, a_of, b_of, groups[ends], links[ends], groups[a_ends] - both[a_ends], groups[b_ends] - both[b_ends], before(in_a), before(in_b))
 
 
 def align_texts(texts: list[str | None], a_path: str, b_path: str) -> Aligned:
     c, p = codec(a_path), pieces(b_path)
-    none = np.zeros(0, dtype=np.int64)
+    none = np.zeros(0, dtype=np.int32)
     a, b = [], []
     for text, theirs in zip(texts, p.model.encode([t or "" for t in texts], num_threads=1), strict=True):
         spaced = f" {text}"
         ours = np.frombuffer(b"".join(map(c.words.__getitem__, c.split(spaced))), dtype="<u4") if text else none
-        theirs, data = np.array(theirs, dtype=np.int64), spaced.encode()
-        fits = bool(text) and joined(p, theirs) == data and joined(c, ours) == data
+        theirs, data = np.array(theirs, dtype=np.int32), spaced.encode()
+        # A's tokens are cut from these very bytes, so their number tells whether all are there.
+        fits = bool(text) and joined(p, theirs) == data and int(c.lengths[ours].sum()) == len(data)
         a.append(ours if fits else none)
         b.append(theirs if fits else none)
     return align_tokens(a, b, c.lengths, p.lengths)
@@ -178,7 +177,7 @@ def described(df: DataFrame, id_col: str, text_col: str, a_path: str, b_path: st
         for number, part in enumerate(size_chunks(batches, "text", BATCH_BYTES)):
             x = align_texts(part.column(1).to_pylist(), a_path, b_path)
             n = part.num_rows
-            pairs, place = np.unique(x.a[x.link_a] * IDS + x.b[x.link_b], return_inverse=True)
+            pairs, place = np.unique(x.a[x.link_a].astype(np.int64) * IDS + x.b[x.link_b], return_inverse=True)
             doc = np.repeat(np.arange(n), np.diff(x.links_of))
             own, times = np.unique(doc * max(1, len(pairs)) + place, return_counts=True)
             doc, place = np.divmod(own, max(1, len(pairs)))

@@ -183,7 +183,7 @@ def described(df: DataFrame, id_col: str, text_col: str, a_path: str, b_path: st
             doc, place = np.divmod(own, max(1, len(pairs)))
             sha = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in written_groups(x, len(c.lengths), len(p.lengths))]
             of = bounds(np.bincount(doc, minlength=n))
-            numbers = [pa.array(np.diff(v)) for v in (x.a_of, x.b_of, x.groups_of, x.links_of)]
+            numbers = [pa.array(np.diff(v).astype(np.int64)) for v in (x.a_of, x.b_of, x.groups_of, x.links_of)]
             batch = pa.array(np.full(n, first + number))
             none = [pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int32()))]
             names = ["batch", "doc_id", *_NUMBERS, "groups_sha256", "places", "times", "pairs", "held"]

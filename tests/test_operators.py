@@ -9,7 +9,7 @@ from tillroll.operators import aggregates, filters, lookups, ranking, sets
 from tillroll.plans import retail
 from tillroll.plans.params import Params
 from tillroll.sources import files, schemas
-from tillroll.streaming import running
+from tillroll.streaming import publish, running
 
 T = "transaction_id string, store_id bigint, user_id bigint, final_amount double, created_at timestamp_ntz"
 
@@ -105,7 +105,7 @@ def test_stream_goes_on_after_a_failed_batch(spark, landing, tmp_path):
     with pytest.raises(Exception, match="lost"):
         run()
     run()
-    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(1, 4, 1)]
+    assert [tuple(r) for r in publish.latest(spark, str(tmp_path / "out")).collect()] == [(31, 905, 1)]
 
 
 def test_custom_round(spark):
@@ -182,12 +182,13 @@ def test_table_names():
 @pytest.fixture
 def landing(tmp_path):
     for name, text in {
-        "1/stores/Stores.csv": "h1,h2,h3,h4,h5,h6,h7,h8\n1,Store \"X,Main St,,City,State,-58.4,\n",
-        "2/transactions_1.csv": "any,header,at,all,x,x,x,x,x\nt1,1.0,2,,4.0,100.0,,90.0,2024-05-10 14:30:00\nt2,2,2,,,100.0,,,2024-05-10 08:23:32\n",
-        "2/transaction_items_1.csv": "transaction_id,item_id,quantity,unit_price,subtotal,created_at\nt1,10,2,50.0,,2024-06-01 23:59:59\n",
-        "3/menu_items.csv": "item_id,item_name,category,price,is_seasonal,available_from,available_to\n1,Burger,Food,5.0,True,,\n",
-        "3/users.csv": "user_id,gender,birthdate,registered_at\n1,Male,,2020-01-01 05:23:00\n",
-        "3/payment_methods.csv": "a,b\n1,2\n",
+        "a/shops/Stores.csv": "one,two,three,four,five,six,seven,eight\n31,Corner \"No. 7,Quay 4,,Brill,North,12.25,\n",
+        "b/transactions_1.csv": "any,header,at,all,x,x,x,x,x\nk-17,31.0,6,,905.0,12.5,,11.75,2024-11-30 07:05:09\nk-18,32,6,,,0.5,,,2025-02-28 22:59:00\n",
+        "b/transaction_items_1.csv": "this,is,a,header,of,six\nk-17,77,3,4.25,,2024-11-30 07:05:09\n",
+        "c/menu_items.csv": "q,w,e,r,t,y,u\n77,Oat bun,Bakery,4.25,FALSE,2024-03-01 00:00:00,\n",
+        "c/users.csv": "p,o,i,u\n905,,1988-12-05,2021-11-30 18:20:41\n",
+        "c/stores_users.csv": "eight,columns,as,stores,have,them,you,see\n32,Pier,,,,,,9.5\n",
+        "c/opening_hours.csv": "a,b\n1,2\n",
     }.items():
         path = tmp_path / name
         path.parent.mkdir(parents=True, exist_ok=True)
@@ -196,12 +197,14 @@ def landing(tmp_path):
 
 
 def test_csv_scan(spark, landing):
-    read = lambda t: [tuple(r) for r in files.read_csv_table(spark, landing, t).collect()]
-    assert read("transactions") == [("t1", 1, 2, None, 4, 100.0, None, 90.0, at("2024-05-10 14:30:00")), ("t2", 2, 2, None, None, 100.0, None, None, at("2024-05-10 08:23:32"))]
-    assert read("transaction_items") == [("t1", 10, 2, 50.0, None, at("2024-06-01 23:59:59"))]
-    assert read("menu_items") == [(1, "Burger", "Food", 5.0, True, None, None)]
-    assert read("stores") == [(1, 'Store "X', "Main St", None, "City", "State", -58.4, None)]
-    assert read("users") == [(1, "Male", None, at("2020-01-01 05:23:00"))]
+    read = lambda t: sorted(tuple(r) for r in files.read_csv_table(spark, landing, t).collect())
+    assert read("transactions") == [("k-17", 31, 6, None, 905, 12.5, None, 11.75, at("2024-11-30 07:05:09")), ("k-18", 32, 6, None, None, 0.5, None, None, at("2025-02-28 22:59:00"))]
+    assert read("transaction_items") == [("k-17", 77, 3, 4.25, None, at("2024-11-30 07:05:09"))]
+    assert read("menu_items") == [(77, "Oat bun", "Bakery", 4.25, False, at("2024-03-01 00:00:00"), None)]
+    assert read("stores") == [(31, 'Corner "No. 7', "Quay 4", None, "Brill", "North", 12.25, None), (32, "Pier", None, None, None, None, None, 9.5)]
+    # A file whose name tells two tables belongs to one, by the rule of table_of.
+    assert schemas.table_of("c/stores_users.csv") == "stores"
+    assert read("users") == [(905, None, date(1988, 12, 5), at("2021-11-30 18:20:41"))]
     assert files.project(files.read_csv_table(spark, landing, "users"), "users").columns == ["user_id", "birthdate"]
     stats = files.csv_stats(spark, landing, "transactions").collect()
     assert [(r["file"].rsplit("/", 1)[1], r["rows"]) for r in stats] == [("transactions_1.csv", 2)]
@@ -218,17 +221,8 @@ def test_stream_goes_on_with_new_files(spark, landing, tmp_path):
     rows = files.stream_csv_table(spark, landing, "transactions")
     run = lambda: running.run_available(aggregates.purchases(rows), ranking.top3_users, str(tmp_path / "out"), str(tmp_path / "state"))
     run()
-    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(1, 4, 1)]
-    with open(f"{landing}/2/transactions_2.csv", "w") as f:
-        f.write("h\nt3,1,2,,4,1.0,,1.0,2024-05-10 14:30:00\n")
+    assert [tuple(r) for r in publish.latest(spark, str(tmp_path / "out")).collect()] == [(31, 905, 1)]
+    with open(f"{landing}/b/transactions_2.csv", "w") as f:
+        f.write("h\nk-19,31,6,,905,1.0,,1.0,2024-12-24 14:30:00\n")
     run()
-    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(1, 4, 2)]
-
-
-def test_stream_drops_repeats(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "transactions.csv").write_text("h\n" + "t1,1,2,,4,1.0,,1.0,2024-05-10 14:30:00\n" * 3)
-    rows = running.drop_repeats(files.stream_csv_table(spark, str(tmp_path / "in"), "transactions").withColumn("created_at", F.col("created_at").cast("timestamp")), "transaction_id", "created_at", "1 hour")
-    query = rows.writeStream.format("memory").queryName("once").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    assert spark.table("once").count() == 1
+    assert [tuple(r) for r in publish.latest(spark, str(tmp_path / "out")).collect()] == [(31, 905, 2)]

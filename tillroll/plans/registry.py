@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,71 +9,23 @@ from ..functions import calendar, numbers
 from ..operators import aggregates, filters, lookups, ranking, sets
 from ..sources import files
 from ..sources.schemas import TABLES
-from ..streaming import running
+from ..sources.scratch import file_system, hadoop_path, scratch
+from ..streaming import publish, running
 from . import retail
 from .bindings import EVENT_YEARS, ORDER_YEARS, Tables
+from .catalog import EVENTS, EVENTS_IN, HOURS, ITEMS_IN, ORDERS, ORDERS_IN, QUERIES, SQL, query, years, yh, ym
 
-QUERIES = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="tillroll-")
-    path = os.path.join(shared, f"retail-{uuid.uuid4().hex}")
-    _file_system(spark, path).deleteOnExit(_path(spark, path))
-    return path
-
-
-def _path(spark: SparkSession, path: str):
-    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-
-
-def _file_system(spark: SparkSession, path: str):
-    return _path(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+__all__ = ["QUERIES", "SQL"]
 
 
 def name_files(spark: SparkSession, folder: str, name: str) -> None:
     """Give the files that Spark wrote into ``folder`` names that tell the table."""
-    files_there = _file_system(spark, folder)
-    for i, status in enumerate(files_there.listStatus(_path(spark, folder))):
+    files_there = file_system(spark, folder)
+    for i, status in enumerate(files_there.listStatus(hadoop_path(spark, folder))):
         if status.getPath().getName().startswith("part-"):
-            files_there.rename(status.getPath(), _path(spark, f"{folder}/{name}_{i}.csv"))
-
-
-def ym(x: str) -> str:
-    return f"concat(cast(year({x}) as string),'-',lpad(cast(month({x}) as string),2,'0'))"
-
-
-def yh(x: str) -> str:
-    return f"concat(cast(year({x}) as string),'-H',case when month({x})<=6 then '1' else '2' end)"
+            files_there.rename(status.getPath(), hadoop_path(spark, f"{folder}/{name}_{i}.csv"))
 
 
-def years(x: str, first: int, last: int) -> str:
-    return f"{x} >= timestamp '{first}-01-01 00:00:00' and {x} < timestamp '{last + 1}-01-01 00:00:00'"
-
-
-HOURS = "hour(ts) between 6 and 23"
-ORDERS = "orders join customer on o_custkey = c_custkey"
-EVENTS = "events join customer on user_id = c_custkey"
-ORDERS_IN = years("o_orderdate", 1997, 1998)
-EVENTS_IN = years("ts", 2024, 2025)
-ITEMS_IN = years("l_shipdate", 1997, 1998)
-
 # The four questions.
 
 
@@ -433,7 +381,7 @@ def stream_argmax_qty(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch(spark)
     best = lambda sums: ranking.argmax(sums, ["year_month"], "quantity", "item_id").select("item_id", "year_month", F.col("quantity").cast("bigint").alias("quantity"))
     running.run_available(aggregates.products(items), best, f"{path}/best", f"{path}/checkpoint")
-    return spark.read.parquet(f"{path}/best")
+    return publish.latest(spark, f"{path}/best")
 
 
 def _stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -457,7 +405,7 @@ def stream_tpv(spark: SparkSession, folder: str) -> DataFrame:
         return named.select(F.col("year_half").alias("year_half_created_at"), "store_name", F.col("tpv").cast("double").alias("tpv"))
 
     running.run_available(aggregates.tpv(retail.in_years(_order_stream(spark, folder), ORDER_YEARS), "user_id"), finish, f"{path}/tpv", f"{path}/checkpoint")
-    return spark.read.parquet(f"{path}/tpv")
+    return publish.latest(spark, f"{path}/tpv")
 
 
 @query(f"with {_top3_sql(ORDERS, 'o_custkey', 'true')} select store_id, user_id, purchases from r where rn <= 3")
@@ -465,15 +413,7 @@ def stream_top3(spark: SparkSession, folder: str) -> DataFrame:
     """The ranking of the fourth question over a stream of orders."""
     t, path = Tables(spark, folder), scratch(spark)
     running.run_available(aggregates.purchases_of_users(_order_stream(spark, folder)), lambda counts: ranking.top3_users(aggregates.stores_purchases(counts, t.homes)), f"{path}/top3", f"{path}/checkpoint")
-    return spark.read.parquet(f"{path}/top3")
+    return publish.latest(spark, f"{path}/top3")
 
 
-@query(_q1_sql(f"{EVENTS_IN} and {HOURS} and value >= 75"))
-def stream_distinct(spark: SparkSession, folder: str) -> DataFrame:
-    """The first question over a stream in which every event comes twice."""
-    e, path = _stream(spark, folder, "events"), scratch(spark)
-    rows = e.select(F.col("event_id").alias("transaction_id"), F.col("value").alias("final_amount"), F.col("ts").alias("created_at")).withColumn("created_at", F.explode(F.array("created_at", "created_at")))
-    kept = retail.in_hours(retail.in_years(rows, EVENT_YEARS), EVENT_YEARS)
-    once = running.drop_repeats(filters.by_amount(kept, "final_amount", EVENT_YEARS.min_amount).withColumn("at", F.col("created_at").cast("timestamp")), "transaction_id", "at", "1 hour")
-    running.append_available(once.select("transaction_id", "final_amount"), f"{path}/once", f"{path}/checkpoint")
-    return spark.read.parquet(f"{path}/once")
+from . import continuous  # noqa: E402, F401  its queries are registered as well

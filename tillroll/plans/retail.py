@@ -1,6 +1,7 @@
 """The four questions, over tables with the columns of ``sources.schemas.NEEDED``.
 
 Facts shrink before they meet a dimension: filter, aggregate, rank, then look up.
+Fixed values: the names of the results' columns, which the report files show.
 """
 
 from __future__ import annotations
@@ -21,37 +22,41 @@ def in_hours(df: DataFrame, p: Params) -> DataFrame:
     return filters.by_hour(df, "created_at", p.hour_start, p.hour_end)
 
 
-def q1(transactions: DataFrame, p: Params) -> DataFrame:
+def q1(transactions: DataFrame, p: Params, also: tuple[str, ...] = ()) -> DataFrame:
     """Transactions of the years and hours with at least the least amount."""
     rows = filters.by_amount(in_hours(in_years(transactions, p), p), "final_amount", p.min_amount)
-    return rows.select("transaction_id", "final_amount")
+    return rows.select(*also, "transaction_id", "final_amount")
 
 
-def q2_1(items: DataFrame, menu: DataFrame, p: Params, unique: bool = False) -> DataFrame:
+def q2_1(items: DataFrame, menu: DataFrame, p: Params, unique: bool = False, also: tuple[str, ...] = ()) -> DataFrame:
     """Of each month the product sold most often."""
-    best = ranking.argmax(aggregates.products(in_years(items, p)), ["year_month"], "quantity", "item_id")
-    return lookups.item_names(best, menu, unique).select(F.col("year_month").alias("year_month_created_at"), "item_name", F.col("quantity").cast("bigint").alias("sellings_qty"))
+    best = ranking.argmax(aggregates.products(in_years(items, p), also), [*also, "year_month"], "quantity", "item_id")
+    return lookups.item_names(best, menu, unique).select(*also, F.col("year_month").alias("year_month_created_at"), "item_name", F.col("quantity").cast("bigint").alias("sellings_qty"))
 
 
-def q2_2(items: DataFrame, menu: DataFrame, p: Params, unique: bool = False) -> DataFrame:
+def q2_2(items: DataFrame, menu: DataFrame, p: Params, unique: bool = False, also: tuple[str, ...] = ()) -> DataFrame:
     """Of each month the product with the highest total."""
-    best = ranking.argmax(aggregates.products(in_years(items, p)), ["year_month"], "subtotal", "item_id")
-    return lookups.item_names(best, menu, unique).select(F.col("year_month").alias("year_month_created_at"), "item_name", F.col("subtotal").cast("double").alias("profit_sum"))
+    best = ranking.argmax(aggregates.products(in_years(items, p), also), [*also, "year_month"], "subtotal", "item_id")
+    return lookups.item_names(best, menu, unique).select(*also, F.col("year_month").alias("year_month_created_at"), "item_name", F.col("subtotal").cast("double").alias("profit_sum"))
 
 
-def q3(transactions: DataFrame, stores: DataFrame, p: Params, hours: bool = True, rounded: bool = False, unique: bool = False, homes: DataFrame | None = None) -> DataFrame:
+def q3(
+    transactions: DataFrame, stores: DataFrame, p: Params, hours: bool = True, rounded: bool = False, unique: bool = False, homes: DataFrame | None = None, also: tuple[str, ...] = ()
+) -> DataFrame:
     """Total payment value of each half-year and store.  ``homes``: the stores of users, for transactions without a store."""
     rows = in_years(transactions, p)
     rows = in_hours(rows, p) if hours else rows
-    sums = aggregates.tpv(rows) if homes is None else aggregates.tpv_of_homes(rows, homes)
+    sums = aggregates.tpv(rows, also=also) if homes is None else aggregates.tpv_of_homes(rows, homes, also)
     value = F.col("tpv").cast("double")
-    return lookups.store_names(sums, stores, unique).select(F.col("year_half").alias("year_half_created_at"), "store_name", (custom_round(value) if rounded else value).alias("tpv"))
+    return lookups.store_names(sums, stores, unique).select(*also, F.col("year_half").alias("year_half_created_at"), "store_name", (custom_round(value) if rounded else value).alias("tpv"))
 
 
-def q4(transactions: DataFrame, stores: DataFrame, users: DataFrame, p: Params, value: str = "birthdate", unique: bool = False, homes: DataFrame | None = None) -> DataFrame:
+def q4(
+    transactions: DataFrame, stores: DataFrame, users: DataFrame, p: Params, value: str = "birthdate", unique: bool = False, homes: DataFrame | None = None, also: tuple[str, ...] = ()
+) -> DataFrame:
     """Of each store the users with most transactions.  ``homes``: as in :func:`q3`."""
     rows = in_years(transactions, p)
-    counts = aggregates.purchases(rows) if homes is None else aggregates.purchases_of_homes(rows, homes)
-    best = ranking.top_k(counts, ["store_id"], [F.col("purchases").desc(), F.col("user_id").desc()], p.top)
+    counts = aggregates.purchases(rows, also) if homes is None else aggregates.purchases_of_homes(rows, homes, also)
+    best = ranking.top_k(counts, [*also, "store_id"], [F.col("purchases").desc(), F.col("user_id").desc()], p.top)
     named = lookups.birthdates(lookups.store_names_or_id(best, stores, unique), users, value, unique)
-    return named.select("store_name", value)
+    return named.select(*also, "store_name", value)

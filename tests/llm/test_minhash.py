@@ -140,3 +140,74 @@ def test_slices_of_batches():
     assert np.diff(starts).tolist() == [len(shingles(t, 2)) for t in texts[20:40]]
     again, _ = minhash.shingle_sets(pa.array(texts[20:40]), 2)
     assert (value == again).all()
+
+
+def test_any_identifier(spark):
+    """The largest and the smallest number are identifiers like others, beside a null one."""
+    low, high = -(1 << 63), (1 << 63) - 1
+    docs = [(high, "a text of its own"), (None, "nobody's text, once"), (None, "two texts that are alike"), (high - 1, "two texts that are alike"), (low, "one more pair here"), (0, "one more pair here"), (high, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"]), r["kept"]) for r in minhash.group(df, 2).collect())
+    want = [(high, 4, high, True), (None, 2, None, True), (None, 4, high - 1, False), (high - 1, 4, high - 1, True), (low, 3, low, True), (0, 3, low, False), (high, 0, high, True)]
+    assert got == sorted((str(i), n, str(c), k) for i, n, c, k in want)
+    kept = sorted((str(r["doc_id"]), r["text"]) for r in minhash.drop_duplicates(df, 2).collect())
+    assert kept == sorted((str(i), t) for i, t in [docs[0], docs[1], docs[3], docs[4], docs[6]])
+
+
+def family(n, replaced, seed=3):
+    """``n`` texts of 100 words, each with a share of a common text's words replaced by its own."""
+    rng, base = random.Random(seed), [f"b{i}" for i in range(100)]
+    return [(i, " ".join(f"o{i}_{k}" if rng.random() < replaced else w for k, w in enumerate(base))) for i in range(n)]
+
+
+def copies_of(spark, monkeypatch, docs, words):
+    """The result over ``docs`` with groups of 64 members at most, and how many sets are sent to be compared."""
+    sent, deal = [], minhash.dealt
+    monkeypatch.setattr(minhash, "GROUP_ROWS", 64)
+    monkeypatch.setattr(minhash, "dealt", lambda groups, sets: sent.append(deal(groups, sets).count()) or deal(groups, sets))
+    got = grouped(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), words)
+    monkeypatch.undo()
+    return got, sum(sent)
+
+
+def test_large_groups_of_near_copies(spark, monkeypatch):
+    """Four times the members (4 and 16 times what a group holds) cost about four times the sets, not sixteen."""
+    few, few_sent = copies_of(spark, monkeypatch, family(250, 0.01), 1)
+    many, many_sent = copies_of(spark, monkeypatch, family(1000, 0.01), 1)
+    assert len({c for _, c, _ in few.values()}) == len({c for _, c, _ in many.values()}) == 1
+    assert many_sent <= 250 + 4**1.3 * few_sent
+
+
+def test_large_groups_just_below_the_threshold(spark, monkeypatch):
+    docs = family(300, 0.15)
+    got, sent = copies_of(spark, monkeypatch, docs, 1)
+    assert got == brute(docs, 1)
+    assert len({c for _, c, _ in got.values()}) > 100
+    assert sent <= 300 * 300  # far from a copy for each pair and prefix
+
+
+def test_two_threads_keep_their_tables(spark):
+    """Operators that run at once in one driver delete their own tables only."""
+    import threading
+
+    from tillroll.llm import common
+
+    inside, leave, got = threading.Event(), threading.Event(), []
+
+    def first():
+        with common.temporary(spark):
+            common.cut(spark.range(3))
+            inside.set()
+            leave.wait(60)
+
+    thread = threading.Thread(target=first)
+    thread.start()
+    inside.wait(60)
+    with common.temporary(spark):
+        kept = common.cut(spark.range(5))
+        leave.set()
+        thread.join()
+        got.append(kept.count())
+    assert got == [5]
+    with pytest.raises(Exception, match="(?i)not.?exist"):
+        kept.count()

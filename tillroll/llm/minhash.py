@@ -46,7 +46,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, find_package, map_arrow, row_hash, size_chunks, temporary, whole
@@ -61,7 +61,6 @@ GROUP_ROWS, GROUP_ELEMENTS = 2048, 1 << 20
 SLICE = 256
 #: Further stars in large groups, and splits of those that remain.
 STARS, SPLITS = 2, 3
-_LAST = (1 << 63) - 1
 _P1, _P2, _P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -317,10 +316,11 @@ def _links(uid: np.ndarray, root: np.ndarray, block: np.ndarray, tokens: np.ndar
                 yield uid[i], uid[j]
 
 
-def inner_links(groups: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (u, v) that connect the components in each group as all links there do."""
+def dealt(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """The members of each group with their sets, for the tasks that compare them: a group that is too
+    large for one goes to a task for each pair of its blocks."""
     blocks = F.ceil(F.greatest(F.col("size") / GROUP_ROWS, F.col("weight") / GROUP_ELEMENTS)).cast("int")
-    dealt = (
+    return (
         groups.withColumn("blocks", blocks)
         .withColumn("block", F.pmod(F.xxhash64(F.lit(3), "uid"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -328,7 +328,11 @@ def inner_links(groups: DataFrame, sets: DataFrame) -> DataFrame:
         .join(sets, "uid")
         .select("key", "low", "high", "block", "uid", "root", "tokens")
     )
-    sorted_ = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "uid")
+
+
+def inner_links(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (u, v) that connect the components in each group as all links there do."""
+    sorted_ = dealt(groups, sets).repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "uid")
 
     def run(batches):
         """Groups follow each other; only the last one of what is held may go on in the next slice."""
@@ -394,45 +398,50 @@ def connected(members: DataFrame, sets: DataFrame) -> DataFrame | None:
     return merge(roots, inner_links(groups, sets))
 
 
+def _identifier(doc_id: Column) -> list[Column]:
+    """no_k, k: an identifier as two columns without nulls; a null one comes after all others."""
+    return [doc_id.isNull().alias("no_k"), F.coalesce(doc_id, F.lit(0)).alias("k")]
+
+
 def _rooted(named: DataFrame, marked: DataFrame, words: int) -> DataFrame:
-    """s1, s2, k, hash, root: each set, its first row, and the smallest set number of its component."""
-    order = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("k"), "hash")
+    """s1, s2, no_k, k, hash, root: each set, its first row, and the smallest set number of its component."""
+    order = F.struct(*_identifier(F.col("doc_id")), "hash")
     reps = marked.where("n > 0").groupBy("s1", "s2").agg(F.min(order).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    reps = cut(reps.select("s1", "s2", "rep.k", "rep.hash", "n", "bands", F.monotonically_increasing_id().alias("uid")))
+    reps = cut(reps.select("s1", "s2", "rep.no_k", "rep.k", "rep.hash", "n", "bands", F.monotonically_increasing_id().alias("uid")))
 
     keyed = reps.select(F.explode("bands").alias("key"), "uid", "n")
     # Aggregated before the exchange, so a bucket of a third of all rows loads no task.
     shared = keyed.groupBy("key").agg(F.min("uid").alias("hub"), F.min_by("n", "uid").alias("hub_n"), F.max("uid").alias("last")).where("hub < last")
     members = cut(keyed.join(shared.drop("last"), "key"))
 
-    busy = reps.join(members.select("uid").distinct(), "uid", "left_semi").select("uid", "k", "hash")
+    busy = reps.join(members.select("uid").distinct(), "uid", "left_semi").select("uid", "no_k", "k", "hash")
     # Rows that repeat identifier and text are aggregated before the exchange.
-    own = named.groupBy(F.coalesce("doc_id", F.lit(_LAST)).alias("k"), "hash").agg(F.first("text").alias("text"))
-    texts = busy.join(own, ["k", "hash"]).select("uid", "text")
+    own = named.groupBy(*_identifier(F.col("doc_id")), "hash").agg(F.first("text").alias("text"))
+    texts = busy.join(own, ["no_k", "k", "hash"]).select("uid", "text")
     roots = connected(members, cut(with_sets(texts, words)))
     if roots is None:
         roots = named.sparkSession.createDataFrame([], "uid long, root long")
-    return reps.select("s1", "s2", "k", "hash", "uid").join(roots, "uid", "left").select("s1", "s2", "k", "hash", F.coalesce("root", "uid").alias("root"))
+    return reps.select("s1", "s2", "no_k", "k", "hash", "uid").join(roots, "uid", "left").select("s1", "s2", "no_k", "k", "hash", F.coalesce("root", "uid").alias("root"))
 
 
 def _grouped(df: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, hash (of the text), n, and the first row of its component: k (its identifier), first_hash."""
+    """doc_id, hash (of the text), n, and the first row of its component: no_k, k (its identifier), first_hash."""
     spark = df.sparkSession
     find_package(spark)
     named = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
     marked = cut(describe(named, words), keep=True)
     with temporary(spark):
         placed = cut(_rooted(named, marked, words), keep=True)
-    least = placed.groupBy("root").agg(F.min(F.struct("k", "hash")).alias("first"))
+    least = placed.groupBy("root").agg(F.min(F.struct("no_k", "k", "hash")).alias("first"))
     named_sets = placed.join(least, "root").select("s1", "s2", "first")
-    own_row = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("k"), "hash")
+    own_row = F.struct(*_identifier(F.col("doc_id")), "hash")
     out = marked.select("doc_id", "hash", "n", "s1", "s2").join(named_sets, ["s1", "s2"], "left").withColumn("first", F.coalesce("first", own_row))
-    return out.select("doc_id", "hash", "n", "first.k", F.col("first.hash").alias("first_hash"))
+    return out.select("doc_id", "hash", "n", "first.no_k", "first.k", F.col("first.hash").alias("first_hash"))
 
 
 def group(df: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles long, component_id long, kept boolean; one row for each row of ``df``."""
-    component = F.when(F.col("k") != _LAST, F.col("k"))
+    component = F.when(~F.col("no_k"), F.col("k"))
     return _grouped(df, words, id_col, text_col).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
@@ -443,11 +452,12 @@ def drop_duplicates(df: DataFrame, words: int = 5, id_col: str = "doc_id", text_
     the one whose text has the smallest hash, and of rows equal in both the one
     with the smallest hash of all columns.  Rows equal in everything are copies, one stays.
     """
-    firsts = _grouped(df, words, id_col, text_col).where(F.coalesce("doc_id", F.lit(_LAST)).eqNullSafe(F.col("k")) & (F.col("hash") == F.col("first_hash")))
-    keys = firsts.select("k", "hash").distinct()
+    first = F.when(~F.col("no_k"), F.col("k"))
+    firsts = _grouped(df, words, id_col, text_col).where(F.col("doc_id").eqNullSafe(first) & (F.col("hash") == F.col("first_hash")))
+    keys = firsts.select("no_k", "k", "hash").distinct()
     # Columns go by number here, so no name of the table's can be in the way.
     numbered = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
-    key = F.coalesce(F.col(f"c{df.columns.index(id_col)}").cast("long"), F.lit(_LAST))
+    key = _identifier(F.col(f"c{df.columns.index(id_col)}").cast("long"))
     text = F.coalesce(F.col(f"c{df.columns.index(text_col)}"), F.lit(""))
-    once = numbered.groupBy(key.alias("k"), F.xxhash64(text).alias("hash")).agg(F.min_by(F.struct(*numbered.columns), row_hash(numbered)).alias("row"))
-    return once.join(keys, ["k", "hash"], "left_semi").select("row.*").toDF(*df.columns)
+    once = numbered.groupBy(*key, F.xxhash64(text).alias("hash")).agg(F.min_by(F.struct(*numbered.columns), row_hash(numbered)).alias("row"))
+    return once.join(keys, ["no_k", "k", "hash"], "left_semi").select("row.*").toDF(*df.columns)

@@ -8,9 +8,13 @@ counts as empty; without labels the sample is empty.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .common import cut, temporary
 
 #: Most rows of each class.
 ROWS_OF_CLASS = 3000
@@ -49,8 +53,18 @@ def labelled(
     # 2 * rows identifiers at most, so they can be sent to all tasks; repeated ones are aggregated before the exchange.
     found = texts.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").where(F.octet_length("text") <= longest)
     once = found.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    so_far = F.sum(F.octet_length("text").cast("long")).over(Window.partitionBy("y").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    taken = sorted(once.withColumn("bytes", so_far).where(F.col("bytes") <= total).select("text", "y", "doc_id").collect(), key=lambda r: (r["doc_id"], r["y"]))
+    with temporary(docs.sparkSession):
+        held = cut(once.withColumn("order", order[0]).withColumn("bytes", F.octet_length("text").cast("long")))
+        # Lengths decide how far a class's texts go; then only these texts are gathered.
+        last: dict[int, tuple[int, int]] = {}
+        used = {0: 0, 1: 0}
+        for r in sorted(held.select("y", "order", "doc_id", "bytes").collect()):
+            used[r["y"]] += r["bytes"]
+            if used[r["y"]] <= total:
+                last[r["y"]] = (r["order"], r["doc_id"])
+        upto = [(F.col("y") == y) & (F.struct("order", "doc_id") <= F.struct(F.lit(o).cast("long").alias("order"), F.lit(i).cast("long").alias("doc_id"))) for y, (o, i) in last.items()]
+        near = reduce(or_, upto, F.lit(False))
+        taken = sorted(held.where(near).select("text", "y", "doc_id").collect(), key=lambda r: (r["doc_id"], r["y"]))
     every = sum(counts.values()) or 1
     have = {y: sum(r["y"] == y for r in taken) for y in (0, 1)}
     weight = {y: counts.get(y, 0) / every / max(1, have[y]) * len(taken) for y in (0, 1)}

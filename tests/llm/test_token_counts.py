@@ -72,3 +72,15 @@ def test_odd_rows(odd, odd_rows, none):
 def test_query(spark, small):
     rows = queries.op3_token_counts(spark, small)
     assert rows.where("section = 0").count() == spark.read.parquet(f"{small}/documents.parquet").count()
+
+
+def test_fields_of_odd_rows(spark, odd, none, odd_rows):
+    rows = token_counts.count_field_tokens(odd, ["text", "lang", "n"], "doc_id").collect()
+    assert len(rows) == 3 * len(odd_rows)
+    of = lambda i: sorted((r["section"], r["n_tokens"]) for r in rows if r["doc_id"] == i)
+    assert [s for s, _ in of(2)] == [0, 1, 2] and of(2)[1][1] <= 1  # null fields count as empty
+    assert of(5)[::2] == of(5)[1::2]  # repeated rows are counted each by itself
+    assert sum(n for s, n in of(6) if s == 0) > 30_000
+    assert token_counts.count_field_tokens(none, ["text", "lang"]).count() == 0
+    with pytest.raises(ValueError):
+        token_counts.count_field_tokens(odd, [])

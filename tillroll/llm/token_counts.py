@@ -107,9 +107,11 @@ def count_line_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def count_field_tokens(df: DataFrame, fields: list[str], id_col: str = "doc_id", separator: str = "\n", rule: str = "first", path: str | None = None) -> DataFrame:
     """A row for each field (``section`` is its place in ``fields``) of each record,
-    encoded as one text: the fields joined by ``separator``."""
+    encoded as one text: the fields joined by ``separator``.  At least one field is asked for."""
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
+    if not fields:
+        raise ValueError("fields must name at least one column")
     path = vocabulary(VOCABULARY, path)
     values = [F.coalesce(F.col(f"`{f}`").cast("string"), F.lit("")).alias(f"f{i}") for i, f in enumerate(fields)]
 

@@ -1,5 +1,9 @@
 """The pipeline against plain versions of its stages."""
 
+import os
+import subprocess
+import sys
+
 import corpus_pipeline
 import pyarrow as pa
 from test_minhash import brute
@@ -48,3 +52,29 @@ def test_odd_rows(spark, odd, odd_rows, none):
         else:
             assert out.dtypes == empty.dtypes == odd.dtypes
             assert {r["_first_k"] for r in out.collect()} <= {r["_first_k"] for r in odd.collect()}
+
+
+CHILD = """
+import os, sys, threading
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", sys.argv[1]).config("spark.driver.memory", "3g").getOrCreate()
+import corpus_pipeline
+pieces = {}
+def one(i):
+    pieces[i] = sorted((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect())
+threads = [threading.Thread(target=one, args=(i,)) for i in range(2)]
+[t.start() for t in threads]
+[t.join() for t in threads]
+assert pieces[0] == pieces[1] and len(pieces[0]) > 20, pieces
+assert any(n.startswith("pipeline-") for n in os.listdir(sys.argv[1]))
+spark.stop()
+"""
+
+
+def test_two_at_once_leave_nothing(tmp_path):
+    """Two pipelines in threads of one driver both give their results, and the shared folder is empty when it ends."""
+    root = os.path.dirname(os.path.abspath(corpus_pipeline.__file__))
+    subprocess.run([sys.executable, "-c", CHILD, str(tmp_path)], check=True, cwd=root, timeout=900, capture_output=True)
+    # Spark makes an empty folder of its own there.
+    assert [f for _, _, names in os.walk(tmp_path) for f in names] == []
+    assert not any(n.startswith(("pipeline-", "cut-")) for n in os.listdir(tmp_path))

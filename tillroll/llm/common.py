@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -36,9 +37,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A new place in the shared folder; what is written there goes when the driver ends."""
+    """A new, empty folder in the shared one; it goes, with what is written there, when the driver ends."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    _files(spark, path, lambda fs, at: fs.deleteOnExit(at))
+
+    def make(files, at) -> None:
+        files.mkdirs(at)  # only what exists can be registered
+        files.deleteOnExit(at)
+
+    _files(spark, path, make)
     return path
 
 
@@ -47,29 +53,32 @@ def _files(spark: SparkSession, path: str, action: Callable) -> None:
     action(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at)
 
 
-#: Tables of the temporary() blocks that are open.
-_open: list[list[str]] = []
+#: Folders of the innermost temporary() block that is open in this thread.
+_open: ContextVar[list[str] | None] = ContextVar("open", default=None)
 
 
 @contextmanager
 def temporary(spark: SparkSession):
-    """What :func:`cut` writes inside the block is deleted at its end, but for what it was told to keep."""
-    _open.append([])
+    """What :func:`cut` writes inside the block, in the same thread, is deleted at its end, but for what it was told to keep."""
+    token = _open.set([])
     try:
         yield
     finally:
-        for path in _open.pop():
+        folders = _open.get()
+        _open.reset(token)
+        for path in folders:
             _files(spark, path, lambda fs, at: fs.delete(at, True))
 
 
 def cut(df: DataFrame, keep: bool = False) -> DataFrame:
     """``df`` as a written table in the shared folder: lost executors cost nothing
     that lies before it, and its size is known to the planner."""
-    path = new_folder(df.sparkSession, "cut")
-    if _open and not keep:
-        _open[-1].append(path)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    folder = new_folder(df.sparkSession, "cut")
+    here = _open.get()
+    if here is not None and not keep:
+        here.append(folder)
+    df.write.parquet(f"{folder}/rows")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/rows")
 
 
 def vocabulary(name: str, path: str | None) -> str:

@@ -50,7 +50,7 @@ def add_once(batch: DataFrame, key: str, ts: str, delay: timedelta, target: str,
     rows = batch.withColumn(day, F.col(ts).cast("date")).withColumn(tie, F.xxhash64(*batch.columns))
     first = top_k(rows, [key, day], [F.col(ts).asc(), F.col(tie).asc()], 1).drop(tie)
     if before:
-        first = first.join(_keys(first, read_versions(spark, target, before), key, day), _same(first, key, day), "left_anti")
+        first = first.join(_keys(rows, read_versions(spark, target, before), key, day), _same(first, key, day), "left_anti")
     late = F.col(ts) < F.lit(datetime.fromisoformat(horizon) - delay).cast("timestamp_ntz") if horizon else F.lit(False)
     first.withColumn("late", F.coalesce(late, F.lit(False))).write.mode("overwrite").partitionBy(day).parquet(folder_of(target, number))
     latest = batch.agg(F.max(ts).alias("t")).first()["t"]

@@ -25,6 +25,7 @@ none; other columns play no part, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import re
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -41,12 +42,21 @@ from .common import cut, find_package, map_arrow, size_chunks, text_column, voca
 PIECES = "piece_bpe_32k.model"
 #: Bytes of text that are aligned at once.
 BATCH_BYTES = 3 << 19
+#: Words of one cache generation; two generations are kept in a worker.
+CACHE_WORDS = 200_000
+WORD = re.compile(" +[^ ]*")
 #: Ids of both vocabularies are below this.
 IDS = 1 << 24
 
 
 class Pieces:
-    """A piece model: its encoder, and the bytes of its pieces in an offset table."""
+    """A piece model: its encoder, and the bytes of its pieces in an offset table.
+
+    No piece of such a model goes on with a space after another character (checked
+    when it is loaded), so no merge crosses the place before such a space, and a
+    text's pieces are those of its words with the spaces before them.  Words repeat;
+    a worker keeps the pieces of those it has met, as the codec of A does.
+    """
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
@@ -56,12 +66,40 @@ class Pieces:
         self.lengths = np.array([len(x) for x in content], dtype=np.int64)
         self.offsets = np.cumsum(self.lengths) - self.lengths
         self.buffer = np.frombuffer(b"".join(content), dtype=np.uint8)
+        self.whole = any("▁" in self.model.id_to_piece(i).lstrip("▁") for i in range(self.model.get_piece_size()))
+        self.words = PieceWords(self.model)
+
+    def encode(self, text: str) -> np.ndarray:
+        """The pieces of a text, as the model gives them."""
+        if self.whole or "▁" in text:  # the sign that the model writes for a space
+            return np.array(self.model.encode(text), dtype=np.int32)
+        return np.frombuffer(b"".join(map(self.words.__getitem__, WORD.findall(f" {text}"))), dtype="<i4")
 
     def _bytes(self, i: int) -> bytes:
         piece = self.model.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.model.is_byte(i) else piece.replace("▁", " ").encode()
 
 
+class PieceWords(dict):
+    """Pieces of the words met so far, each with the spaces before it; the generation before the last stays in ``older``."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model, self.older = model, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:  # the model puts the first space back
+            found = self.model.encode(word[1:]) if word != " " else [self.model.piece_to_id("▁")]
+            ids = np.array(found, dtype="<i4").tobytes()
+        if len(word) <= 64:  # long ones seldom repeat
+            if len(self) >= CACHE_WORDS:
+                self.older = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 @lru_cache(maxsize=2)
 def pieces(path: str) -> Pieces:
     """One for each model in a worker process, kept between tasks."""
@@ -115,10 +153,10 @@ def align_texts(texts: list[str | None], a_path: str, b_path: str) -> Aligned:
     c, p = codec(a_path), pieces(b_path)
     none = np.zeros(0, dtype=np.int32)
     a, b = [], []
-    for text, theirs in zip(texts, p.model.encode([t or "" for t in texts], num_threads=1), strict=True):
+    for text in texts:
         spaced = f" {text}"
         ours = np.frombuffer(b"".join(map(c.words.__getitem__, c.split(spaced))), dtype="<u4") if text else none
-        theirs, data = np.array(theirs, dtype=np.int32), spaced.encode()
+        theirs, data = p.encode(text) if text else none, spaced.encode()
         # A's tokens are cut from these very bytes, so their number tells whether all are there.
         fits = bool(text) and joined(p, theirs) == data and int(c.lengths[ours].sum()) == len(data)
         a.append(ours if fits else none)

@@ -12,7 +12,7 @@ from tillroll.operators import aggregates, lookups
 from tillroll.plans import clients, continuous, registry, retail, together
 from tillroll.plans.bindings import EVENT_YEARS, ORDER_YEARS, Tables
 from tillroll.sources import files
-from tillroll.streaming import incremental, late, later, periods, publish, running
+from tillroll.streaming import changed, incremental, late, later, periods, publish, running
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -213,7 +213,38 @@ def test_runs_read_new_files_only(spark, tmp_path):
         part(n).write.parquet(str(inbox / str(n)))
         assert len(run()) == 1 and totals() == want(*range(n + 1))
     assert all(len(f) == 1 for f in read_files) and len({f[0] for f in read_files}) == 12
-    assert len(incremental._live(spark, store)) < incremental.COMPACT < len(publish.complete_versions(spark, store))
+    assert len(publish.live_versions(spark, store)) < publish.COMPACT < len(publish.complete_versions(spark, store))
+
+
+# Changed sums.
+
+
+def test_batches_write_what_changed(spark, tmp_path):
+    inbox, target, checkpoint = (str(tmp_path / n) for n in ("in", "out", "state"))
+    schema, want = "k string, x bigint", {}
+    spark.createDataFrame([], schema).write.parquet(inbox)
+
+    def run(*rows, fail=False):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(inbox)
+        sums = spark.readStream.schema(schema).parquet(inbox).groupBy("k").agg(F.sum("x").alias("x"), F.count(F.lit(1)).alias("n"))
+        changed.run_changes(failing(sums, F.col("k") == "bad") if fail else sums, ["k"], target, checkpoint)
+
+    for batch in range(publish.COMPACT + 4):
+        rows = [("a", batch), (f"k{batch}", 1), (None, 5)]
+        for k, x in rows:
+            total, n = want.get(k, (0, 0))
+            want[k] = (total + x, n + 1)
+        run(*rows)
+        assert {r["k"]: (r["x"], r["n"]) for r in changed.current(spark, target, ["k"]).collect()} == want
+    live = publish.live_versions(spark, target)
+    assert len(live) < publish.COMPACT < len(publish.complete_versions(spark, target))
+    assert spark.read.parquet(publish.folder_of(target, live[-1])).count() == 3
+    assert spark.read.parquet(publish.folder_of(target, live[0])).count() > publish.COMPACT
+    with pytest.raises(Exception, match="stop here"):
+        run(("bad", 1), fail=True)
+    assert {r["k"]: (r["x"], r["n"]) for r in changed.current(spark, target, ["k"]).collect()} == want
+    run(("a", 1))
+    assert {r["k"]: r["x"] for r in changed.current(spark, target, ["k"]).where("k in ('a', 'bad')").collect()} == {"a": want["a"][0] + 1, "bad": 1}
 
 
 # All results.

@@ -10,7 +10,7 @@ from ..operators import aggregates, filters, lookups, ranking, sets
 from ..sources import files
 from ..sources.schemas import TABLES
 from ..sources.scratch import file_system, hadoop_path, scratch
-from ..streaming import publish, running
+from ..streaming import changed, publish, running
 from . import retail
 from .bindings import EVENT_YEARS, ORDER_YEARS, Tables
 from .catalog import EVENTS, EVENTS_IN, HOURS, ITEMS_IN, ORDERS, ORDERS_IN, QUERIES, SQL, query, years, yh, ym
@@ -397,23 +397,23 @@ def _order_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(_q3_sql(ORDERS_TPV))
 def stream_tpv(spark: SparkSession, folder: str) -> DataFrame:
-    """The third question over a stream of orders: users' sums are the state."""
+    """The third question over a stream of orders: users' sums are the state, and what a batch changes is written."""
     t, path = Tables(spark, folder), scratch(spark)
 
     def finish(sums: DataFrame) -> DataFrame:
         named = lookups.store_names(aggregates.stores_tpv(sums, t.homes), t.stores, True)
         return named.select(F.col("year_half").alias("year_half_created_at"), "store_name", F.col("tpv").cast("double").alias("tpv"))
 
-    running.run_available(aggregates.tpv(retail.in_years(_order_stream(spark, folder), ORDER_YEARS), "user_id"), finish, f"{path}/tpv", f"{path}/checkpoint")
-    return publish.latest(spark, f"{path}/tpv")
+    changed.run_changes(aggregates.tpv(retail.in_years(_order_stream(spark, folder), ORDER_YEARS), "user_id"), ["year_half", "user_id"], f"{path}/tpv", f"{path}/checkpoint")
+    return finish(changed.current(spark, f"{path}/tpv", ["year_half", "user_id"]))
 
 
 @query(f"with {_top3_sql(ORDERS, 'o_custkey', 'true')} select store_id, user_id, purchases from r where rn <= 3")
 def stream_top3(spark: SparkSession, folder: str) -> DataFrame:
     """The ranking of the fourth question over a stream of orders."""
     t, path = Tables(spark, folder), scratch(spark)
-    running.run_available(aggregates.purchases_of_users(_order_stream(spark, folder)), lambda counts: ranking.top3_users(aggregates.stores_purchases(counts, t.homes)), f"{path}/top3", f"{path}/checkpoint")
-    return publish.latest(spark, f"{path}/top3")
+    changed.run_changes(aggregates.purchases_of_users(_order_stream(spark, folder)), ["user_id"], f"{path}/counts", f"{path}/checkpoint")
+    return ranking.top3_users(aggregates.stores_purchases(changed.current(spark, f"{path}/counts", ["user_id"]), t.homes))
 
 
 from . import continuous  # noqa: E402, F401  its queries are registered as well

@@ -14,9 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .publish import complete, complete_versions, folder_of, note_of
-
-COMPACT = 8
+from .publish import BASE, COMPACT, complete, complete_versions, folder_of, live_versions
 
 
 def identity() -> Column:
@@ -30,13 +28,6 @@ def listed(spark: SparkSession, folders: list[str], pattern: str) -> DataFrame:
     return found.select("path", identity().alias("name"))
 
 
-def _live(spark: SparkSession, store: str) -> list[int]:
-    """Runs whose partial sums count: the last base and those after it."""
-    runs = complete_versions(spark, store)
-    bases = [v for v in runs if note_of(spark, store, v) == "base"]
-    return [v for v in runs if not bases or v >= bases[-1]]
-
-
 def new_files(spark: SparkSession, store: str, folders: list[str], pattern: str = "*.parquet") -> list[str]:
     """Paths that no run has read, one for each name.  The list is what the scan's own planning holds on the driver."""
     files = listed(spark, folders, pattern).groupBy("name").agg(F.min("path").alias("path"))
@@ -55,11 +46,11 @@ def update(spark: SparkSession, store: str, folders: list[str], read: Callable[[
     paths = new_files(spark, store, folders, pattern)
     if not paths:
         return []
-    runs, live = complete_versions(spark, store), _live(spark, store)
+    runs, live = complete_versions(spark, store), live_versions(spark, store)
     number = runs[-1] + 1 if runs else 0
     sums, note = partial(read(paths)), ""
     if len(live) >= COMPACT:
-        sums, note = merge(sums.unionByName(_sums(spark, store, live))), "base"
+        sums, note = merge(sums.unionByName(_sums(spark, store, live))), BASE
     sums.write.mode("overwrite").parquet(f"{folder_of(store, number)}/sums")
     listed(spark, paths, pattern).write.mode("overwrite").parquet(f"{folder_of(store, number)}/files")
     complete(spark, store, number, note)
@@ -72,4 +63,4 @@ def _sums(spark: SparkSession, store: str, runs: list[int]) -> DataFrame:
 
 def totals(spark: SparkSession, store: str, merge: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The sums over all files that were read so far."""
-    return merge(_sums(spark, store, _live(spark, store)))
+    return merge(_sums(spark, store, live_versions(spark, store)))

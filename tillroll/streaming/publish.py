@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.scratch import exists, names, read_text, remove, write_text
 
-MARKER, FOLDER = "_COMPLETE", "published_version"
+MARKER, FOLDER, BASE = "_COMPLETE", "published_version", "base"
+#: So many versions that build on each other are merged into a base.
+COMPACT = 8
 
 
 def folder_of(target: str, version: int) -> str:
@@ -39,6 +41,13 @@ def note_of(spark: SparkSession, target: str, version: int) -> str:
     return read_text(spark, f"{folder_of(target, version)}/{MARKER}")
 
 
+def live_versions(spark: SparkSession, target: str) -> list[int]:
+    """The last version noted as ``base``, which holds all before it, and those after it; all where there is none."""
+    versions = complete_versions(spark, target)
+    bases = [v for v in versions if note_of(spark, target, v) == BASE]
+    return [v for v in versions if not bases or v >= bases[-1]]
+
+
 def read_versions(spark: SparkSession, target: str, versions: list[int]) -> DataFrame:
     """The rows of several versions together; each may have partition folders inside."""
     return spark.read.option("basePath", target).parquet(*(folder_of(target, v) for v in versions)).drop(FOLDER)

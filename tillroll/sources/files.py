@@ -101,7 +101,8 @@ def split_csv_table(spark: SparkSession, folder: str, table: str) -> tuple[DataF
     """The rows whose lines are sound, and the others: file, line (as it stands there), reasons (array of text).
 
     A line is sound if it has a field for each column and every field that isn't
-    empty parses.  Every line is in one of the two; an empty line is none.
+    empty parses.  Every line is in one of the two; an empty line is none.  Each of
+    the two is a scan of its own when it is computed.
     """
     lines = _lines(spark.read, folder, table, "_line")
     fields = [F.coalesce(F.col(name), F.lit("")) for name, _ in TABLES[table]]

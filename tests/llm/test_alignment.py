@@ -65,17 +65,6 @@ COLUMNS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_s
 TEXTS = ["the cat", "the  cat sat", None, "", " ", "naïve café 日本語 😀", "a▁b", "<s> </s> <|endoftext|> <0x41>", "\n\n\t x", "the cat", "x" * 300, "1234567 + 89", "é    ", "don't won't", "\x00\x01"]
 
 
-def test_pieces_word_by_word(spark, small):
-    """The pieces of whole texts, as the library gives them."""
-    import random
-
-    p, rng = alignment.Pieces(public_tokenizers.path("piece_bpe_32k.model")), random.Random(4)
-    assert not p.whole
-    texts = [t for t in TEXTS if t] + [r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").select("text").collect() if r["text"]]
-    texts += ["".join(rng.choices(["a", "the", " ", "  ", "\n", "\t", "\u00a0", ".", "é", "▁", "日", "</s>", "<0x0A>", "0", "ing", " of"], k=rng.randint(1, 40))) for _ in range(3000)]
-    assert all(p.encode(t).tolist() == p.model.encode(t) for t in texts)
-
-
 def test_texts_by_loops(spark):
     rows = list(enumerate(TEXTS))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)

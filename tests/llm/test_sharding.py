@@ -1,6 +1,7 @@
 import zlib
 from collections import Counter, defaultdict
 
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 from tillroll.llm import queries, sharding
@@ -86,6 +87,17 @@ def test_equal_rows_spread(spark):
     assert all(s["n"] == s["d"] == s["b"] + 1 and s["a"] == 0 for s in slots)
 
 
+def test_buckets_are_runs_of_cells(spark):
+    """Sizes of the tasks are even, also where cells don't divide into buckets; too few cells are refused."""
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("four").alias("text"))
+    out = sharding.shuffle_into_shards(docs, "doc_id", 2, F.octet_length("text"), bucket_bytes=4000, cells=37)
+    tasks = out.withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.count(F.lit(1)).alias("n")).collect()
+    assert len(tasks) == 20 and sum(t["n"] for t in tasks) == 20_000
+    assert max(t["n"] for t in tasks) < 4 * 20_000 / 37 / 2 * 1.2  # four cells of the 37 at most
+    with pytest.raises(ValueError, match="cells"):
+        sharding.shuffle_into_shards(docs, "doc_id", 2, F.octet_length("text"), bucket_bytes=4000, cells=9)
+
+
 def test_written_shards(spark, odd, tmp_path):
     shuffled = sharding.shuffle_into_shards(odd, "doc_id", 3)
     sharding.write_shards(shuffled, str(tmp_path / "out"))

@@ -12,9 +12,12 @@ The law is ``key``: key and number of shards alone decide a record's shard, and
 one more shard takes records only into itself (its number wins against the old
 winner or not; nothing else changes).
 
-The exchange carries each record once.  The first slots of the buckets come from
-counts by bucket and travel through the same exchange, so nothing is joined or
-broadcast.  The bucket depends on the whole record, so records with equal keys
+The table is read twice.  The first reading counts rows and bytes in ``CELLS`` fixed
+cells of each shard; their sum sets the number of buckets, and a bucket is a run of
+cells, so its counts are sums as well.  The second one deals the records.  The
+exchange carries each record once.  The first slots of the buckets come from
+these counts and travel through the same exchange, so nothing is joined or
+broadcast.  The cell depends on the whole record, so records with equal keys
 spread; only rows that are equal in everything meet in one bucket.  Where a bucket
 comes out ``HOT`` times too large, its rows are numbered in a written table and
 dealt by their numbers over all buckets of the shard.
@@ -38,6 +41,8 @@ from .common import cut, row_hash
 BUCKET_BYTES = 4 << 20
 #: A bucket with so many times these bytes is dealt anew.
 HOT = 4
+#: Cells of a shard that are counted before the number of its buckets is known; a bucket is a run of them.
+CELLS = 1 << 22
 SEED = 42
 
 
@@ -53,15 +58,14 @@ def grown_shard_of(key: Column, shard: Column, shards: int, seed: int = SEED) ->
     return F.greatest(draw(shard), draw(F.lit(shards)))["i"]
 
 
-def shuffle_into_shards(df: DataFrame, key_col: str, shards: int, size: Column | None = None, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def shuffle_into_shards(df: DataFrame, key_col: str, shards: int, size: Column | None = None, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, cells: int = CELLS) -> DataFrame:
     """record struct (all columns of ``df``), shard int, slot long.
 
     ``size`` gives a record's bytes and sets the number of buckets; without it
-    a kilobyte each is assumed.
+    a kilobyte each is assumed.  A shard has at most ``cells`` buckets, and a table
+    that needs more of them is refused.
     """
     size = size if size is not None else F.lit(1024)
-    total = df.agg(F.sum(size).alias("b")).first()["b"] or 0
-    per_shard = max(1, -(-total // (bucket_bytes * shards)))
     key = F.col(f"`{key_col}`")
     dealt = df.select(
         F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("record"),
@@ -69,13 +73,20 @@ def shuffle_into_shards(df: DataFrame, key_col: str, shards: int, size: Column |
         F.struct(F.xxhash64(F.lit(seed), key).alias("h"), row_hash(df).alias("tie")).alias("rank"),
         shard_of(key, shards, seed).alias("shard"),
     )
-    bucket = lambda part: (F.col("shard") * F.lit(per_shard) + F.pmod(part, F.lit(per_shard))).cast("int").alias("bucket")
-    dealt = dealt.select("*", bucket(F.xxhash64(F.lit(seed + 1), "rank")))
-    counts = cut(dealt.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("b")))
+    dealt = dealt.select("*", F.pmod(F.xxhash64(F.lit(seed + 1), "rank"), F.lit(cells)).alias("cell"))
+    counted = cut(dealt.groupBy("shard", "cell").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("b")))
+    total = counted.agg(F.sum("b").alias("b")).first()["b"] or 0
+    per_shard = max(1, -(-total // (bucket_bytes * shards)))
+    if per_shard > cells:
+        raise ValueError(f"{per_shard} buckets of {bucket_bytes} bytes in a shard, but {cells} cells")
+    bucket = lambda part: (F.col("shard") * F.lit(per_shard) + part).cast("int").alias("bucket")
+    of_cell = bucket(F.floor(F.col("cell") * F.lit(per_shard) / F.lit(cells)))
+    dealt = dealt.select("*", of_cell).drop("cell")
+    counts = counted.groupBy("shard", of_cell).agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
     hot = counts.where(F.col("b") > HOT * bucket_bytes).select("bucket")
     if per_shard > 1 and hot.limit(1).count():
         numbered = cut(dealt.join(hot, "bucket", "left_semi").drop("bucket").withColumn("number", F.monotonically_increasing_id()))
-        spread = numbered.select("*", bucket(F.xxhash64(F.lit(seed + 2), "number"))).drop("number")
+        spread = numbered.select("*", bucket(F.pmod(F.xxhash64(F.lit(seed + 2), "number"), F.lit(per_shard)))).drop("number")
         dealt = dealt.join(hot, "bucket", "left_anti").unionByName(spread)
         counts = counts.join(hot, "bucket", "left_anti").select("shard", "bucket", "n").unionByName(spread.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n")))
         counts = counts.groupBy("shard", "bucket").agg(F.sum("n").alias("n"))

@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from tillroll.llm import changes, queries
 
@@ -162,3 +163,43 @@ def test_empty(spark, small):
     none = spark.read.parquet(f"{small}/client_changes.parquet").where("1 = 0").selectExpr("*", "1 as n", "1 as day", "1 as batch")
     assert changes.latest_applied(changes.apply_changes(none, 2)).count() == 0
     assert changes.with_numbers(none.drop("n"), "client_id", "seq").count() == 0
+
+
+class Handle:
+    """What a processor sees of Spark's state, with the calls counted."""
+
+    def __init__(self):
+        self.calls, self.value, self.map = [], None, Store()
+
+    def getValueState(self, name, schema):
+        return self
+
+    def getMapState(self, name, key, value):
+        return self.map
+
+    def get(self):
+        self.calls.append("get")
+        return self.value
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+    def registerTimer(self, at):
+        self.calls.append("timer")
+
+    def getCurrentWatermarkInMs(self):
+        return 0
+
+
+def test_state_calls_do_not_follow_clients():
+    handle, batch = Handle(), 0
+    for numbers in ([2], [1, 3]):
+        batch += 1
+        applier = changes.Applier(batch, 8)
+        applier.init(handle)
+        handle.calls.clear()
+        rows = [(100 * c + n, c, False, n, "I", 20, f"c{n}", 1.0) for n in numbers for c in range(500)]
+        names = Row(*changes.IN)
+        got = list(applier.handleInputRows((0,), (names(*r) for r in rows), handle))
+        assert len(got) == (0 if batch == 1 else 1500) and len(handle.calls) <= 3 and not handle.map

@@ -216,6 +216,23 @@ def test_runs_read_new_files_only(spark, tmp_path):
     assert len(publish.live_versions(spark, store)) < publish.COMPACT < len(publish.complete_versions(spark, store))
 
 
+def test_sums_are_made_of_even_partitions(spark, tmp_path):
+    """What is summed and what is merged has been dealt by all columns, so a file's rows, or a frequent key's, are no task of their own."""
+    inbox, store, seen = str(tmp_path / "in"), str(tmp_path / "store"), []
+    rows = spark.range(1000).selectExpr("if(id % 3 = 0, 7, id) as item_id", "id as quantity", "id / 4 as subtotal", "timestamp_ntz'2024-01-31 10:00:00' as created_at")
+    rows.coalesce(1).write.parquet(inbox)
+
+    def dealt(df):
+        plan = df._jdf.queryExecution().optimizedPlan().toString().split("\n")[0]
+        seen.append(all(c in plan for c in ("RebalancePartitions", *df.columns)))
+        return df
+
+    incremental.update(spark, store, [inbox], lambda paths: spark.read.schema(rows.schema).parquet(*paths), lambda df: aggregates.products(dealt(df)), aggregates.merged_products)
+    sums = incremental.totals(spark, store, lambda df: aggregates.merged_products(dealt(df)))
+    assert {r["item_id"]: int(r["quantity"]) for r in sums.collect()} == {7: 7 + sum(range(0, 1000, 3)), **{i: i for i in range(1000) if i % 3 and i != 7}}
+    assert seen == [True, True]
+
+
 # Changed sums.
 
 

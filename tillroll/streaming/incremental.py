@@ -5,6 +5,9 @@ that the runs before it have read, sums up the rest, and keeps two things: the
 partial sums, which can be merged, and its files.  Totals are the merged partial
 sums of all runs.  A run that fails is written anew; one without new files adds
 nothing.  When ``COMPACT`` runs have come together, one merges them into a base.
+
+Rows are dealt evenly before they are summed, so a task's table of sums follows the
+size of a shuffle's partitions, not that of the files that come or of their row groups.
 """
 
 from __future__ import annotations
@@ -38,6 +41,11 @@ def new_files(spark: SparkSession, store: str, folders: list[str], pattern: str
     return sorted(r["path"] for r in files.collect())
 
 
+def even(rows: DataFrame) -> DataFrame:
+    """The same rows in partitions of Spark's advisory size; all columns decide, so a frequent key is in many."""
+    return rows.hint("rebalance", *rows.columns)
+
+
 def update(spark: SparkSession, store: str, folders: list[str], read: Callable[[list[str]], DataFrame], partial: Callable[[DataFrame], DataFrame], merge: Callable[[DataFrame], DataFrame], pattern: str = "*.parquet") -> list[str]:
     """Add what is new, and say which files that was.
 
@@ -48,9 +56,9 @@ def update(spark: SparkSession, store: str, folders: list[str], read: Callable[[
         return []
     runs, live = complete_versions(spark, store), live_versions(spark, store)
     number = runs[-1] + 1 if runs else 0
-    sums, note = partial(read(paths)), ""
+    sums, note = partial(even(read(paths))), ""
     if len(live) >= COMPACT:
-        sums, note = merge(sums.unionByName(_sums(spark, store, live))), BASE
+        sums, note = merge(even(sums.unionByName(_sums(spark, store, live)))), BASE
     sums.write.mode("overwrite").parquet(f"{folder_of(store, number)}/sums")
     listed(spark, paths, pattern).write.mode("overwrite").parquet(f"{folder_of(store, number)}/files")
     complete(spark, store, number, note)
@@ -63,4 +71,4 @@ def _sums(spark: SparkSession, store: str, runs: list[int]) -> DataFrame:
 
 def totals(spark: SparkSession, store: str, merge: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The sums over all files that were read so far."""
-    return merge(_sums(spark, store, live_versions(spark, store)))
+    return merge(even(_sums(spark, store, live_versions(spark, store))))

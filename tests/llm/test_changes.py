@@ -4,6 +4,7 @@ import datetime
 import math
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import Row
@@ -98,6 +99,16 @@ def test_odd_rows_by_fold(spark):
     assert got[7][1] == "rejected" and got[8][3] == 8994 and got[5][1] == "applied" and got[11][2] == 5
 
 
+def test_no_store_stays_open(spark):
+    """Each batch's start opens stores of its own; those of earlier starts must not add up in the executors."""
+    local = Path(spark._jvm.org.apache.spark.util.Utils.getLocalDir(spark.sparkContext._jsc.sc().conf()))
+    stores = lambda: set(local.glob("StateStoreId*"))  # noqa: E731  a store's own files; they go when it is closed
+    before = stores()
+    df = spark.createDataFrame(ODD, "batch int, day int, id long, client long, n long, op string, city string, balance double")
+    assert changes.apply_changes(df.where("batch = 1"), 1, changes.Columns(id="id", client="client")).count() == 4
+    assert stores() <= before
+
+
 def test_large_client_in_small_pages(spark):
     """One client with nearly all rows, over many pages of which few are held at once."""
     import random

@@ -394,6 +394,7 @@ def _session(spark):
     session.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")  # many small stores: no room set aside for each
+    session.conf.set("spark.sql.streaming.stateStore.unloadOnCommit", "true")  # each start opens stores of its own: those of earlier ones would stay in the executors' memory
     session.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # overdue changes belong to the next batch
     return session
 

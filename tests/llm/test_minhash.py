@@ -211,3 +211,49 @@ def test_two_threads_keep_their_tables(spark):
     assert got == [5]
     with pytest.raises(Exception, match="(?i)not.?exist"):
         kept.count()
+
+
+def family_with_others(n):
+    """A family that is one component but for a fifth of its members, which are near it but not linked with it."""
+    return family(n * 4 // 5, 0.02) + [(n + i, t) for i, t in family(n // 5, 0.15, 4)]
+
+
+def test_families_with_others(spark, monkeypatch):
+    """A set is sent for its hubs' groups and blocks, not for each bucket or each element of a prefix."""
+    docs = family_with_others(300)
+    got, sent = copies_of(spark, monkeypatch, docs, 1)
+    assert got == brute(docs, 1)
+    assert len({c for _, c, _ in got.values()}) > 40
+    assert sent <= 20 * len(docs)
+
+
+def test_rows_of_a_task_meet_in_any_number_at_once(monkeypatch):
+    rng = random.Random(5)
+    sets = [sorted({(w * 7919 + 11) % 100_003 for w in range(60) if rng.random() > p} | {200_000 + rng.randrange(90) for _ in range(int(60 * p))}) for p in rng.choices([0.02, 0.1, 0.3], k=80)]
+    tokens, starts = np.concatenate(sets).astype(np.uint64), np.cumsum([0, *map(len, sets)])
+    root = np.array([0 if i < 20 else i for i in range(80)])
+
+    def parts(block):
+        parent = {int(r): int(r) for r in root}
+        for u, v in minhash._links(np.arange(80), root, block, tokens, starts):
+            a, b = parent[int(root[u])], parent[int(root[v])]
+            assert a != b
+            parent = {k: min(a, b) if p in (a, b) else p for k, p in parent.items()}
+        return parent
+
+    def want(block):
+        parent = {int(r): int(r) for r in root}
+        for i, s in enumerate(sets):
+            for j, t in enumerate(sets[:i]):
+                if (block.any() and block[i] == block[j]) or 180 * len({*s} & {*t}) < 80 * (len(s) + len(t)):
+                    continue
+                a, b = parent[int(root[i])], parent[int(root[j])]
+                parent = {k: min(a, b) if p in (a, b) else p for k, p in parent.items()}
+        return parent
+
+    for block in (np.zeros(80, dtype=int), np.arange(80) % 2):
+        assert 1 < len(set(want(block).values())) < 60
+        for pairs, marks in ((1 << 18, 1 << 20), (1, 1), (200, 1000)):
+            monkeypatch.setattr(minhash, "PAIRS", pairs)
+            monkeypatch.setattr(minhash, "MARKS", marks)
+            assert parts(block) == want(block)

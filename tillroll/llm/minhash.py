@@ -9,20 +9,24 @@ correlates the components negatively and lowers the variance, and an element is
 given up as soon as no component can still improve.  ``BANDS`` bands of ``ROWS``
 components miss a pair with similarity 0.8 about once in ten million times.
 
-A bucket's members are compared without an all-pairs step:
-
-1. each member with the bucket's first member (a star);
-2. where a bucket still has members of several components and is large, with a
-   fresh hub, ``STARS`` times; found links merge components in between;
-3. large ones that remain are split by an exact prefix filter: a member's set is
-   ordered by "not in the hub's set" first, and of a set of n elements the first
-   n - ceil(0.8 n) + 1 name the smaller groups that it goes to.  Two sets with a
-   link share one of these.  Members that only share a frequent passage with the
-   hub have nothing but their own elements there, and part;
-4. groups that fit in a task (``GROUP_ROWS`` members, ``GROUP_ELEMENTS``
-   elements) are compared inside it, again behind a prefix filter, and only a
-   spanning forest of the links leaves the task.  What is still large after
-   ``SPLITS`` splits is compared block by block in the same way.
+Buckets with one first member, their *hub*, are one group, so a pair that shares
+many buckets meets once:
+
+1. each member is compared with the hub (a star);
+2. where a group still has members of several components, only those outside its
+   largest component, the *others*, meet the rest;
+3. groups that fit in a task (``GROUP_ROWS`` members, ``GROUP_ELEMENTS``
+   elements) are compared inside it, larger ones block by block, the others' blocks
+   with all blocks; only a spanning forest of the links leaves a task.  Inside, two
+   sets' common elements are counted by what sets them apart: the elements that
+   most of the members have count for those that lack them;
+4. where blocks would send a set ``COPIES`` times on average, a fresh hub comes
+   first, ``STARS`` times, then an exact prefix filter that splits the group: a
+   member's set is ordered by "not in the hub's set" first, and of a set of n
+   elements the first n - ceil(0.8 n) + 1 name the smaller groups that it goes to.
+   Two sets with a link share one of these.  Members that only share a frequent
+   passage with the hub have nothing but their own elements there, and part.  What
+   is still large after ``SPLITS`` splits is compared block by block.
 
 Every link is a comparison of full sets; nothing is decided by signatures.  So two
 documents end in one component if and only if links connect them, up to the
@@ -59,8 +63,13 @@ PERCENT = 80
 GROUP_ROWS, GROUP_ELEMENTS = 2048, 1 << 20
 #: Rows that are read at once on the way to a group.
 SLICE = 256
-#: Further stars in large groups, and splits of those that remain.
+#: Times that a group's sets are sent on average, from which it gets further stars, and splits if it remains.
+COPIES = 16
 STARS, SPLITS = 2, 3
+#: Elements whose whole permutations are held at once.
+FEW = 1 << 13
+#: Pairs that are counted at once in a task, and marks that are read for them (or those of one row).
+PAIRS, MARKS = 1 << 18, 1 << 20
 _P1, _P2, _P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -75,7 +84,7 @@ def shingle_sets(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     column = pc.ascii_lower(whole(column))
     lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(column))
     coded = lists.flatten().dictionary_encode()
-    entries = np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()], dtype=np.uint64)
+    entries = np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)], dtype=np.uint64)
     h = entries[coded.indices.to_numpy()] if len(entries) else np.zeros(0, dtype=np.uint64)
     starts = lists.offsets.to_numpy().astype(np.int64)
     starts = starts - starts[0]
@@ -91,8 +100,8 @@ def shingle_sets(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     for i in range(words):
         more = length > i
         value[more] = mix(value[more] * _P1 + h[at[more] + i])
-    order = np.lexsort((value, which))
-    value, which = value[order], which[order]
+    for a, b in zip(first[:-1], first[1:], strict=True):
+        value[a:b].sort()
     new = np.ones(len(value), dtype=bool)
     new[1:] = (value[1:] != value[:-1]) | (which[1:] != which[:-1])
     value, which = value[new], which[new]
@@ -105,20 +114,32 @@ def superminhash(elements: np.ndarray, starts: np.ndarray, size: int = SIZE) ->
     signature = np.full(sets * size, ~np.uint64(0), dtype=np.uint64)
     which = np.repeat(np.arange(sets), np.diff(starts))
     seeds, swaps = elements, []
+    shuffled, own = None, None  # the permutations of the elements that are left, once these are few, and which each has
     for j in range(size):
         r = mix(seeds + np.uint64((j + 1) * int(_P1) & (1 << 64) - 1))
         k = (np.uint64(j) + (((r & np.uint64(0xFFFFFFFF)) * np.uint64(size - j)) >> np.uint64(32))).astype(np.int16)
-        place = k.copy()
-        for i in range(j - 1, -1, -1):  # the exchanges made so far, backwards
-            other = swaps[i]
-            place = np.where(place == other, np.int16(i), np.where(place == i, other, place))
+        if shuffled is None and len(seeds) <= FEW:
+            shuffled, own = np.tile(np.arange(size, dtype=np.int16), (len(seeds), 1)), np.arange(len(seeds))
+            for i, other in enumerate(swaps):
+                shuffled[own, i], shuffled[own, other] = shuffled[own, other], shuffled[own, i]
+        if shuffled is None:
+            place = k.copy()
+            for i in range(j - 1, -1, -1):  # the exchanges made so far, backwards
+                other = swaps[i]
+                place = np.where(place == other, np.int16(i), np.where(place == i, other, place))
+        else:
+            place = shuffled[own, k]
+            shuffled[own, k] = shuffled[own, j]
         np.minimum.at(signature, which * size + place, (np.uint64(j) << np.uint64(32)) | (r >> np.uint64(32)))
         # A set is done when later ranks, which are larger, can change nothing.
         open_ = signature.reshape(sets, size).max(1) >= (np.uint64(j + 1) << np.uint64(32))
         going = open_[which]
         if not going.any():
             break
-        swaps = [s[going] for s in [*swaps, k]]
+        if shuffled is None:
+            swaps = [s[going] for s in [*swaps, k]]
+        else:
+            own = own[going]
         seeds, which = seeds[going], which[going]
     return signature.reshape(sets, size)
 
@@ -228,23 +249,43 @@ def star_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def mixed(groups: DataFrame, roots: DataFrame) -> DataFrame:
-    """The groups (key, uid, n) with members of several components, with ``root`` and
-    their ``size`` and ``weight`` (elements); of groups with the same members, one."""
+    """The groups (key, uid, n) with members of several components, with ``root``, ``main`` (the root of
+    most members), ``size`` and ``weight`` (members and elements), ``rest`` and ``rest_weight`` (those
+    outside ``main``); of groups with the same members, one."""
     rooted = groups.join(roots, "uid", "left").select("key", "uid", "n", F.coalesce("root", "uid").alias("root"))
-    stat = rooted.groupBy("key").agg(
-        F.min("root").alias("a"),
-        F.max("root").alias("b"),
+    parts = rooted.groupBy("key", "root").agg(
         F.count(F.lit(1)).alias("size"),
         F.sum("n").alias("weight"),
         F.bit_xor(F.xxhash64(F.lit(1), "uid")).alias("x"),
         F.bit_xor(F.xxhash64(F.lit(2), "uid")).alias("y"),
     )
-    once = stat.where("a <> b").groupBy("size", "weight", "x", "y").agg(F.min("key").alias("key"))
-    return cut(rooted.join(once.select("key", "size", "weight"), "key"))
+    stat = parts.groupBy("key").agg(
+        F.max(F.struct("size", "root", "weight")).alias("most"),
+        F.count(F.lit(1)).alias("parts"),
+        *(F.sum(c).alias(c) for c in ("size", "weight")),
+        *(F.bit_xor(c).alias(c) for c in ("x", "y")),
+    )
+    once = stat.where("parts > 1").groupBy("size", "weight", "x", "y").agg(F.min(F.struct("key", "most")).alias("one"))
+    rest = [(F.col(c) - F.col(f"one.most.{c}")).alias(name) for c, name in (("size", "rest"), ("weight", "rest_weight"))]
+    kept = once.select("one.key", F.col("one.most.root").alias("main"), "size", "weight", *rest)
+    return cut(rooted.join(kept, "key"))
+
+
+def blocks(size, weight):
+    """How many blocks so many members and elements are dealt into."""
+    return F.ceil(F.greatest(size / GROUP_ROWS, weight / GROUP_ELEMENTS)).cast("int")
+
+
+def block_counts():
+    """The blocks of a group's members, of those outside its main component, and of those inside."""
+    size, weight, rest, rest_weight = map(F.col, ("size", "weight", "rest", "rest_weight"))
+    return blocks(size, weight), blocks(rest, rest_weight), blocks(size - rest, weight - rest_weight)
 
 
 def large():
-    return (F.col("size") > GROUP_ROWS) | (F.col("weight") > GROUP_ELEMENTS)
+    all_, rest, main = block_counts()
+    sent = F.col("rest") * (rest + main) + (F.col("size") - F.col("rest")) * rest
+    return (all_ > 1) & (sent > COPIES * F.col("size"))
 
 
 def with_hub(groups: DataFrame, turn: int, apart: bool) -> DataFrame:
@@ -272,58 +313,75 @@ def split(groups: DataFrame, sets: DataFrame, turn: int) -> tuple[DataFrame, Dat
 def _links(uid: np.ndarray, root: np.ndarray, block: np.ndarray, tokens: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int]]:
     """A spanning forest of the links between different components in one group, or between its two blocks."""
     n = np.diff(starts)
-    parent: dict[int, int] = {}
-
-    def top(x):
-        while parent.get(x, x) != x:
-            parent[x] = x = parent.get(parent[x], parent[x])
-        return x
-
-    # Linked sets share an element of their prefixes, here with the group's rare elements first.
-    first = starts - starts[0]
+    _, tops, members = np.unique(root, return_inverse=True, return_counts=True)
+    if block[0] == block[-1] and block.min() == block.max():
+        rows, columns = np.flatnonzero(tops != members.argmax()), np.arange(len(n))
+    else:
+        rows, columns = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+    if not len(rows):
+        return
+
+    # An element that most members have marks those that lack it, another one those that have it.
+    # Of K such elements, sets that lack a and b of them, c of these the same, share K - a - b + c.
     member = np.repeat(np.arange(len(n)), n)
     _, element, held = np.unique(tokens[starts[0] : starts[-1]], return_inverse=True, return_counts=True)
-    element = element[np.lexsort((element, held[element], member))]
-    place = np.arange(first[-1]) - first[:-1][member]
-    used = (place < (n + PERCENT * n // -100 + 1)[member]) & (held[element] > 1)
-    element, member = element[used], member[used]
-    own = np.searchsorted(member, np.arange(len(n) + 1))
-    listed = member[np.argsort(element, kind="stable")]
-    lists = np.concatenate([[0], np.cumsum(np.bincount(element, minlength=len(held)))])
-
-    def shared(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
-        sizes = np.array([len(o) for o in others])
-        flat = np.concatenate(others)
-        at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
-        return np.add.reduceat((own[at] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
-
-    low, high = block.min(), block.max()
-    tops = root
-    for i in np.flatnonzero(block == low):
-        e = element[own[i] : own[i + 1]]
-        sizes = lists[e + 1] - lists[e]
-        js = np.unique(listed[np.repeat(lists[e] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())])
-        js = js[js > i] if low == high else js[block[js] == high]
-        js = js[(tops[js] != tops[i]) & (100 * np.minimum(n[js], n[i]) >= PERCENT * np.maximum(n[js], n[i]))]
-        if not len(js):
-            continue
-        common = shared(tokens[starts[i] : starts[i + 1]], [tokens[starts[j] : starts[j + 1]] for j in js])
-        for j in js[100 * common >= PERCENT * (n[i] + n[js] - common)]:
-            a, b = top(root[i]), top(root[j])
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                tops = np.array([top(r) for r in root])
-                yield uid[i], uid[j]
+    usual = np.flatnonzero(2 * held > len(n))
+    place = np.full(len(held), -1)
+    place[usual] = np.arange(len(usual))
+    there = np.zeros((len(n), len(usual)), dtype=bool)
+    at = place[element]
+    there[member[at >= 0], at[at >= 0]] = True
+    lacks, lacked = np.nonzero(~there)
+    missing = len(usual) - there.sum(1)
+    rare = (at < 0) & (held[element] > 1)
+    member, mark = np.concatenate([lacks, member[rare]]), np.concatenate([lacked, len(usual) + element[rare]])
+
+    # Each row's marks, and each mark's columns.
+    order = np.argsort(member, kind="stable")
+    marks, ends = mark[order], np.searchsorted(member[order], np.arange(len(n) + 1))
+    column = np.full(len(n), -1)
+    column[columns] = np.arange(len(columns))
+    listed, mark = column[member], mark[column[member] >= 0]
+    listed = listed[listed >= 0][np.argsort(mark, kind="stable")]
+    lists = np.concatenate([[0], np.cumsum(np.bincount(mark, minlength=len(usual) + len(held)))])
+    length = np.diff(lists)
+
+    def spread(sizes: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """begins[i], begins[i] + 1, ..., ``sizes[i]`` of them, for each i."""
+        return np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+    reads = np.concatenate([[0], np.cumsum(length[marks])])
+    reads = np.cumsum(reads[ends[rows + 1]] - reads[ends[rows]])
+    most, start = max(1, PAIRS // len(columns)), 0
+    while start < len(rows):
+        before = reads[start - 1] if start else 0
+        stop = max(start + 1, min(start + most, int(np.searchsorted(reads, before + MARKS, side="right"))))
+        part = rows[start:stop]
+        own = ends[part + 1] - ends[part]
+        theirs = marks[spread(own, ends[part])]
+        pair = np.repeat(np.repeat(np.arange(len(part)) * len(columns), own), length[theirs]) + listed[spread(length[theirs], lists[theirs])]
+        common = np.bincount(pair, minlength=len(part) * len(columns)).reshape(len(part), len(columns))
+        common += len(usual) - missing[part][:, None] - missing[columns]
+        links = (100 + PERCENT) * common >= PERCENT * (n[part][:, None] + n[columns])
+        links &= tops[part][:, None] != tops[columns]
+        for r in np.flatnonzero(links.any(1)):
+            i, js = part[r], columns[links[r]]
+            while len(js := js[tops[js] != tops[i]]):
+                tops[tops == tops[js[0]]] = tops[i]
+                yield uid[i], uid[js[0]]
+        start = stop
 
 
 def dealt(groups: DataFrame, sets: DataFrame) -> DataFrame:
-    """The members of each group with their sets, for the tasks that compare them: a group that is too
-    large for one goes to a task for each pair of its blocks."""
-    blocks = F.ceil(F.greatest(F.col("size") / GROUP_ROWS, F.col("weight") / GROUP_ELEMENTS)).cast("int")
+    """The members of each group with their sets, for the tasks that compare them: of a group that is too
+    large for one, each block of the members outside its main component meets each block of all."""
+    all_, rest, main = block_counts()
+    fits_, apart, h = all_ <= 1, F.col("root") != F.col("main"), F.xxhash64(F.lit(3), "uid")
+    block = F.when(fits_, F.lit(0)).when(apart, F.pmod(h, rest)).otherwise(rest + F.pmod(h, main))
+    other = F.when(fits_, F.sequence(F.lit(0), F.lit(0))).when(apart, F.sequence(F.lit(0), rest + main - 1)).otherwise(F.sequence(F.lit(0), rest - 1))
     return (
-        groups.withColumn("blocks", blocks)
-        .withColumn("block", F.pmod(F.xxhash64(F.lit(3), "uid"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        groups.withColumn("block", block.cast("int"))
+        .withColumn("other", F.explode(other))
         .select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "uid", "root")
         .join(sets, "uid")
         .select("key", "low", "high", "block", "uid", "root", "tokens")
@@ -371,12 +429,12 @@ def inner_links(groups: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def connected(members: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """uid, root of all that links connect, from the buckets (key, uid, n, hub, hub_n)."""
+    """uid, root of all that links connect, from the members (hub, hub_n, uid, n) of the buckets with each hub, the hub among them."""
     spark = members.sparkSession
     none = spark.createDataFrame([], "uid long, root long")
     star = members.where("uid <> hub").where(fits(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("u"), F.col("uid").alias("v"))
     roots = merge(None, star_links(star, sets))
-    groups = mixed(members.select("key", "uid", "n"), none if roots is None else roots)
+    groups = mixed(members.select(F.col("hub").alias("key"), "uid", "n"), none if roots is None else roots)
     done = []
     for turn in range(STARS + SPLITS):
         big = groups.where(large())
@@ -412,7 +470,7 @@ def _rooted(named: DataFrame, marked: DataFrame, words: int) -> DataFrame:
     keyed = reps.select(F.explode("bands").alias("key"), "uid", "n")
     # Aggregated before the exchange, so a bucket of a third of all rows loads no task.
     shared = keyed.groupBy("key").agg(F.min("uid").alias("hub"), F.min_by("n", "uid").alias("hub_n"), F.max("uid").alias("last")).where("hub < last")
-    members = cut(keyed.join(shared.drop("last"), "key"))
+    members = cut(keyed.join(shared.drop("last"), "key").select("hub", "hub_n", "uid", "n").distinct())
 
     busy = reps.join(members.select("uid").distinct(), "uid", "left_semi").select("uid", "no_k", "k", "hash")
     # Rows that repeat identifier and text are aggregated before the exchange.
